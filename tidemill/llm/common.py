@@ -10,11 +10,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Text processed at once; bounds the memory of the vectorised steps.
 CHUNK_BYTES = 2 << 20
@@ -86,10 +89,6 @@ def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tupl
         yield begin, len(texts)
 
 
-def record(schema: pa.Schema, columns: dict[str, Iterable]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-
-
 # ---------------------------------------------------------------- hashes
 
 _U = np.uint64
@@ -168,3 +167,38 @@ def unique_per_text(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndar
     """The sorted distinct hashes of each text."""
     for a, b in zip(offsets[:-1], offsets[1:]):
         yield np.unique(hashes[a:b])
+
+
+# ---------------------------------------------------------------- DataFrame helpers
+
+
+def map_texts(df: DataFrame, keep: list, fields: str, make: Callable, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+    """Run a vectorised function over whole texts and append its columns to the kept ones.
+
+    ``make()`` is called once a task and returns ``f(texts) -> list of columns`` for ``fields`` (DDL);
+    texts are UTF-8 bytes or None, at most ``limit`` bytes a call unless one text is longer.
+    """
+    arrow_limits(df.sparkSession)
+    source = df.select(*keep, F.col(text).cast("string").alias("_text"))
+    added = StructType.fromDDL(fields)
+    schema = StructType(source.schema.fields[:-1] + added.fields)
+    types = list(to_arrow_schema(added).types)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            texts = utf8(batch.column(batch.num_columns - 1))
+            for i, j in chunks(texts, limit):
+                kept = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
+                new = [pa.array(c, t) for c, t in zip(function(texts[i:j]), types)]
+                yield pa.RecordBatch.from_arrays(kept + new, names=names)
+
+    return source.mapInArrow(run, schema)
+
+
+def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], by: str, salts: int = 16) -> DataFrame:
+    """Left join for hot keys: rows of a key go to ``salts`` tasks by column ``by``; small is repeated as often."""
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
