@@ -20,13 +20,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Text processed at once; bounds the memory of the vectorised steps.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for long texts: by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -50,7 +50,7 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at files every executor sees."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemill-scratch/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
