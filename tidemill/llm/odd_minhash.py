@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ BANDS, ROWS, SKETCH_BITS = 40, 6, 512
 SLACK = 0.13
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
+#: Shingles of the sets in a block that a task verifies against another: 2 MB.
+ROOM_SHINGLES = 250_000
 
 
 def _signer(bands: int, rows: int, size: int):
@@ -133,12 +136,21 @@ def _likely(pairs: DataFrame, reps: DataFrame, samples: int, least: float) -> Da
     return pairs.join(one, "a").join(other, "b").select("a", "b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
     """The pairs whose full sets have share[1] * intersection >= share[0] * union.
 
-    Only texts that some pair names are fingerprinted again; each pair meets both sets in joins.
+    Pairs that hang together make a room, parted into blocks of about ``ROOM_SHINGLES``; a task gets the
+    pairs of two blocks and the sets they name.  So a set is shipped once for each block that its document
+    is compared with, not for each pair, and a task's memory is bounded however large a room is.
     """
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    arrow_limits(docs.sparkSession)
+    room = connected_components(pairs).join(reps.select(F.col("rep").alias("vertex"), "n_shingles"), "vertex")
+    blocks = room.groupBy("component").agg(F.ceil(F.sum("n_shingles") / ROOM_SHINGLES).cast("int").alias("blocks"))
+    place = room.join(blocks, "component").select("vertex", F.col("component").alias("room"), F.pmod(F.xxhash64("vertex"), "blocks").cast("int").alias("block"))
+    placed = pairs.join(place.select(F.col("vertex").alias("a"), "room", F.col("block").alias("i")), "a").join(place.select(F.col("vertex").alias("b"), F.col("block").alias("j")), "b")
+    placed = placed.select("room", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b")
+    placed = stage_table(placed, "pairs")
+    needed = placed.select("room", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def make():
         def full(texts: list[bytes | None]) -> list[list]:
@@ -147,26 +159,30 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, share: tuple[int, int
 
         return full
 
-    sets = map_texts(docs.join(named, "doc_id", "left_semi"), ["doc_id"], "full binary", make).groupBy("doc_id").agg(F.first("full").alias("full"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if share[1] * min(len(x), len(y)) < share[0] * max(len(x), len(y)):
-                    linked.append(False)
-                    continue
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(share[1] * common >= share[0] * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+    named = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = map_texts(named, ["doc_id"], "full binary", make).join(needed, "doc_id")
+    none = F.lit(None)
+    rows = sets.select("room", "i", "j", F.col("doc_id").alias("a"), none.cast("long").alias("b"), "full")
+    rows = rows.union(placed.select("room", "i", "j", "a", "b", none.cast("binary")))
+
+    def verify(table: pa.Table) -> pa.Table:
+        pair = table.column("full").is_null()
+        one = table.filter(pc.invert(pair))
+        full = {k: np.frombuffer(v, np.uint64) for k, v in zip(one.column("a").to_pylist(), one.column("full").to_pylist())}
+        todo = table.filter(pair).select(["a", "b"])
+        linked = []
+        for a, b in zip(todo.column(0).to_pylist(), todo.column(1).to_pylist()):
+            x, y = full[a], full[b]
+            if share[1] * min(len(x), len(y)) < share[0] * max(len(x), len(y)):
+                linked.append(False)
+                continue
+            both = np.concatenate((x, y))
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            linked.append(share[1] * common >= share[0] * (len(both) - common))
+        return todo.filter(pa.array(linked, pa.bool_()))
 
-    arrow_limits(docs.sparkSession)
-    one = sets.select(F.col("doc_id").alias("a"), F.col("full").alias("full_a"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("full").alias("full_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long")
+    return rows.groupBy("room", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, samples: int, least: float) -> DataFrame:
@@ -204,16 +220,16 @@ def near_duplicates(docs: DataFrame, share: tuple[int, int] = (85, 100), size: i
     fields = "n_shingles long, k1 long, k2 long, bands array<long>, odd binary"
     signed = stage_table(map_texts(docs, ["doc_id"], fields, lambda: _signer(bands, rows, size)), "signed")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
     reps = stage_table(reps, "classes")
     shared = stage_table(_buckets(reps.select(F.explode("bands").alias("key"), "rep")), "buckets")
     pairs = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stage_table(_likely(pairs, reps, samples, least), "likely")
-    links = stage_table(_confirm(likely, docs, size, share), "links")
+    links = stage_table(_confirm(likely, reps, docs, size, share), "links")
     found = stage_table(connected_components(links), "components")
     more = stage_table(_across(shared, reps, found, samples, least).join(likely, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
-        links = stage_table(links.union(_confirm(more, docs, size, share)), "links")
+        links = stage_table(links.union(_confirm(more, reps, docs, size, share)), "links")
         found = stage_table(connected_components(links), "components")
     classes = reps.select("k1", "k2", "rep", "copies").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     classes = classes.filter("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
