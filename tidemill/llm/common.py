@@ -117,21 +117,23 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _hash_words(folded: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the words of blank-separated bytes: differences of a prefix sum."""
+def _hash_words(folded: bytes, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of the words (or of their first bytes) of blank-separated bytes: differences of a prefix sum."""
     buf = np.frombuffer(folded, np.uint8)
     word = buf != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
+    if prefix:
+        ends = np.minimum(ends, starts + prefix)
     power, inverse = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
     return starts, mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes | None], fold: bytes = FOLD_SPACE, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, in order, and the offsets of each text's words in them."""
-    folded = b" ".join(t or b"" for t in texts).translate(FOLD_SPACE) + b" "
+    folded = b" ".join(t or b"" for t in texts).translate(fold) + b" "
     begins = np.concatenate(([0], np.cumsum([len(t or b"") + 1 for t in texts])))
     starts, hashes, at = [], [], 0
     while at < len(folded):  # a long text goes in pieces that end at a blank
@@ -139,7 +141,7 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         if to - at > 2 * CHUNK_BYTES:
             cut = folded.find(b" ", at + CHUNK_BYTES)
             to = cut + 1 if cut >= 0 else to
-        s, h = _hash_words(folded[at:to])
+        s, h = _hash_words(folded[at:to], prefix)
         starts.append(s + at)
         hashes.append(h)
         at = to

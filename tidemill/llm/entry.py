@@ -4,24 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import odd_minhash
+from . import decontaminate, langid, line_dedup, odd_minhash, packing, pii_crf, scaled_sketch, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hits")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scaled_sketch.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(documents)
+
+
 def op6_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.held_out_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OPERATORS = (op1_decontaminate, op2_secret_scan, op3_scaled_sketch, op4_pii_crf, op5_line_dedup, op6_odd_minhash, op7_pack, op8_langid, op10_toxicity)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_odd_minhash,)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontaminate": decontaminate.SQL}
