@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, langid, line_dedup, odd_minhash, packing, pii_crf, scaled_sketch, secret_scan, toxicity
+from . import decontaminate, langid, line_dedup, odd_minhash, packing, paragraph_dedup, pii_crf, scaled_sketch, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +40,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("grouped")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +51,15 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_parts(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-OPERATORS = (op1_decontaminate, op2_secret_scan, op3_scaled_sketch, op4_pii_crf, op5_line_dedup, op6_odd_minhash, op7_pack, op8_langid, op10_toxicity)
+OPERATORS = (op1_decontaminate, op2_secret_scan, op3_scaled_sketch, op4_pii_crf, op5_line_dedup, op6_odd_minhash, op7_pack, op8_langid, op9_paragraph_dedup, op10_toxicity)
 
 
 def queries() -> dict[str, Query]:

@@ -17,7 +17,7 @@ first by a hash of the id, of each at most ``SAMPLE_CHARS`` characters, together
 most ``MAX_LANGUAGES`` languages, those with most rows.  Whole texts are always scored.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; ties go to the language
-first by name; a null lang isn't learned; without any labelled row all texts are ``und``; repeated rows
+with most labelled rows; a null lang isn't learned; without any labelled row all texts are ``und``; repeated rows
 are each returned; an empty table gives an empty result; other columns are passed on by ``identify``'s
 keep list only.
 """
@@ -83,7 +83,7 @@ class Model:
     """Parsing tables of several languages over one alphabet."""
 
     def __init__(self, texts: dict[str, str]) -> None:
-        self.languages = sorted(texts)
+        self.languages = list(texts)
         folded = {lang: fold(text) for lang, text in texts.items()}
         letters = sorted({c for text in folded.values() for c in text} - {" "})
         self.size = len(letters) + 2
@@ -164,10 +164,9 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
     first = Window.partitionBy("lang").orderBy("h", "text")
     languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
     sample = rows.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SAMPLE_DOCS).join(F.broadcast(languages), "lang", "left_semi")
-    texts: dict[str, str] = {}
+    texts: dict[str, str] = {r["lang"]: "" for r in languages.orderBy(F.desc("count"), "lang").collect()}
     for row in sorted(sample.collect(), key=lambda r: (r.lang, r.k)):
-        so_far = texts.get(row.lang, "")
-        texts[row.lang] = (so_far + " " + row.text)[:MODEL_CHARS]
+        texts[row.lang] = (texts[row.lang] + " " + row.text)[:MODEL_CHARS]
     return Model(texts)
 
 

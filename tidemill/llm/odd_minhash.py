@@ -19,6 +19,7 @@ an empty result; other columns are ignored (``near_duplicates``) or passed on (`
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 from collections.abc import Iterator
 
@@ -31,17 +32,42 @@ from pyspark.sql import functions as F
 from .common import arrow_limits, map_texts, mix, salted_left_join, shingle_hashes, stage_table, word_hashes
 from .components import connected_components
 
-BANDS, ROWS, SKETCH_BITS = 40, 6, 512
-#: A sketch's estimate varies by about 0.03 at 0.85; candidates this far below the threshold go on.
-SLACK = 0.13
+
+
+@dataclasses.dataclass(frozen=True)
+class Tuning:
+    """share: least intersection and union of a link; size: words of a shingle; bands of rows samples; bits of a sketch."""
+
+    share: tuple[int, int] = (85, 100)
+    size: int = 5
+    bands: int = 40
+    rows: int = 6
+    bits: int = 512
+
+    @property
+    def samples(self) -> int:
+        return self.bands * self.rows
+
+    @property
+    def least(self) -> float:
+        """Candidates of a lower estimate are dropped: 4.5 standard deviations below the threshold, and what folding adds."""
+        j = self.share[0] / self.share[1]
+        return j - 4.5 * (j * (1 - j) / self.samples) ** 0.5 - 0.02
+
+    def missed(self, similarity: float) -> float:
+        """The probability that no band names a pair of this similarity."""
+        return (1 - similarity**self.rows) ** self.bands
+
+
+DOCUMENTS = Tuning()
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 512
 #: Shingles of the sets in a block that a task verifies against another: 2 MB.
 ROOM_SHINGLES = 250_000
 
 
-def _signer(bands: int, rows: int, size: int):
-    samples = bands * rows
+def _signer(tuning: Tuning):
+    bands, rows, samples = tuning.bands, tuning.rows, tuning.samples
     rng = np.random.default_rng(7)
     a = rng.integers(0, 1 << 31, samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     b = rng.integers(0, 1 << 32, samples, dtype=np.uint32)
@@ -50,7 +76,7 @@ def _signer(bands: int, rows: int, size: int):
 
     def sign(texts: list[bytes | None]) -> list[list]:
         out: list[list] = [[], [], [], [], []]
-        hashes, offsets = shingle_hashes(*word_hashes(texts), size)
+        hashes, offsets = shingle_hashes(*word_hashes(texts), tuning.size)
         for i, j in zip(offsets[:-1], offsets[1:]):
             distinct = np.unique(hashes[i:j])
             out[0].append(len(distinct))
@@ -67,7 +93,7 @@ def _signer(bands: int, rows: int, size: int):
                 np.minimum(least, block.min(axis=0), out=least)
             wide = least.astype(np.uint64)
             banded = mix((wide.reshape(bands, rows) * factors).sum(axis=1) + np.arange(bands, dtype=np.uint64))
-            bits = np.bincount((mix(wide ^ sample_keys) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+            bits = np.bincount((mix(wide ^ sample_keys) % np.uint64(tuning.bits)).astype(np.int64), minlength=tuning.bits) & 1
             for column, value in zip(out[1:], (int(key[0]), int(key[1]), banded.view(np.int64), np.packbits(bits.astype(np.uint8)).tobytes())):
                 column.append(value)
         return out
@@ -75,18 +101,18 @@ def _signer(bands: int, rows: int, size: int):
     return sign
 
 
-def estimate(different_bits: np.ndarray, samples: int) -> np.ndarray:
+def estimate(different_bits: np.ndarray, tuning: Tuning) -> np.ndarray:
     """Similarity from the number of bits in which two odd sketches differ."""
-    share = np.minimum(2 * different_bits / SKETCH_BITS, 1 - 1e-9)
-    return 1 + SKETCH_BITS / (4 * samples) * np.log1p(-share)
+    share = np.minimum(2 * different_bits / tuning.bits, 1 - 1e-9)
+    return 1 + tuning.bits / (4 * tuning.samples) * np.log1p(-share)
 
 
 def different_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+def _sketches(column: pa.Array, tuning: Tuning) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, tuning.bits // 64)
 
 
 def _buckets(banded: DataFrame) -> DataFrame:
@@ -122,21 +148,21 @@ def _buckets(banded: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, rep long, center long")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame, samples: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose odd sketches estimate at least ``least``."""
+def _likely(pairs: DataFrame, reps: DataFrame, tuning: Tuning) -> DataFrame:
+    """The pairs (a, b) whose odd sketches don't rule a link out."""
     one = reps.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a"))
     other = reps.select(F.col("rep").alias("b"), F.col("odd").alias("odd_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                close = estimate(different_bits(_sketches(batch.column(2)), _sketches(batch.column(3))), samples) >= least
+                close = estimate(different_bits(_sketches(batch.column(2), tuning), _sketches(batch.column(3), tuning)), tuning) >= tuning.least
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(close))
 
     return pairs.join(one, "a").join(other, "b").select("a", "b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, share: tuple[int, int]) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning) -> DataFrame:
     """The pairs whose full sets have share[1] * intersection >= share[0] * union.
 
     Pairs that hang together make a room, parted into blocks of about ``ROOM_SHINGLES``; a task gets the
@@ -144,6 +170,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, shar
     is compared with, not for each pair, and a task's memory is bounded however large a room is.
     """
     arrow_limits(docs.sparkSession)
+    share, size = tuning.share, tuning.size
     room = connected_components(pairs).join(reps.select(F.col("rep").alias("vertex"), "n_shingles"), "vertex")
     blocks = room.groupBy("component").agg(F.ceil(F.sum("n_shingles") / ROOM_SHINGLES).cast("int").alias("blocks"))
     place = room.join(blocks, "component").select("vertex", F.col("component").alias("room"), F.pmod(F.xxhash64("vertex"), "blocks").cast("int").alias("block"))
@@ -185,7 +212,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, shar
     return rows.groupBy("room", "i", "j").applyInArrow(verify, "a long, b long")
 
 
-def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, samples: int, least: float) -> DataFrame:
+def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, tuning: Tuning) -> DataFrame:
     """Likely pairs of different components within buckets that hold several, compared in blocks."""
     member = shared.select("key", "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     member = member.select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -198,14 +225,14 @@ def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, samples: int,
     rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "component", "odd")
 
     def compare(batch: pa.Table) -> pa.Table:
-        sketch = _sketches(batch.column("odd"))
+        sketch = _sketches(batch.column("odd"), tuning)
         block, rep, component = (batch.column(c).to_numpy() for c in ("block", "rep", "component"))
         i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left:
             fit = right[(component[right] != component[k]) & ((rep[right] > rep[k]) | (i != j))]
-            fit = fit[estimate(different_bits(sketch[fit], sketch[k]), samples) >= least]
+            fit = fit[estimate(different_bits(sketch[fit], sketch[k]), tuning) >= tuning.least]
             a.append(np.minimum(rep[fit], rep[k]))
             b.append(np.maximum(rep[fit], rep[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -213,32 +240,32 @@ def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, samples: int,
     return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, share: tuple[int, int] = (85, 100), size: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): groups of documents linked by similar shingle sets."""
+def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, grouped, kept): groups of documents linked by similar shingle sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    samples, least = bands * rows, share[0] / share[1] - SLACK
     fields = "n_shingles long, k1 long, k2 long, bands array<long>, odd binary"
-    signed = stage_table(map_texts(docs, ["doc_id"], fields, lambda: _signer(bands, rows, size)), "signed")
+    signed = stage_table(map_texts(docs, ["doc_id"], fields, lambda: _signer(tuning)), "signed")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
     reps = stage_table(reps, "classes")
     shared = stage_table(_buckets(reps.select(F.explode("bands").alias("key"), "rep")), "buckets")
     pairs = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = stage_table(_likely(pairs, reps, samples, least), "likely")
-    links = stage_table(_confirm(likely, reps, docs, size, share), "links")
+    likely = stage_table(_likely(pairs, reps, tuning), "likely")
+    links = stage_table(_confirm(likely, reps, docs, tuning), "links")
     found = stage_table(connected_components(links), "components")
-    more = stage_table(_across(shared, reps, found, samples, least).join(likely, ["a", "b"], "left_anti"), "across")
+    more = stage_table(_across(shared, reps, found, tuning).join(likely, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
-        links = stage_table(links.union(_confirm(more, reps, docs, size, share)), "links")
+        links = stage_table(links.union(_confirm(more, reps, docs, tuning)), "links")
         found = stage_table(connected_components(links), "components")
     classes = reps.select("k1", "k2", "rep", "copies").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     classes = classes.filter("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
     out = salted_left_join(signed.select("doc_id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("class_component").isNotNull().alias("grouped"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, tuning: Tuning = DOCUMENTS) -> DataFrame:
     """docs with one document of each group: the least doc_id.  All columns are passed on."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, tuning).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
