@@ -20,6 +20,8 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import json
 import zlib
 
 import numpy as np
@@ -32,8 +34,8 @@ from tokenizers import Tokenizer
 from .common import map_texts, stage_table
 
 CAPACITY, END_ID, SALTS = 4096, 1, 16
-#: Strings between white space whose ids a task keeps: about 100 MB.
-WORDS = 400_000
+#: Strings between white space whose ids a task keeps: about 140 MB.
+WORDS = 700_000
 
 # What the tokenizer's own pre-tokenizer takes as words, for texts of the plain kind below.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -41,12 +43,30 @@ _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-įĲ-ž‐-‧‰-⁞₠-₿]*+")
 
 
+def _bytes_as_letters() -> dict[int, str]:
+    """Characters of plain texts as the letters by which byte-level vocabularies write their bytes."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letter = {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in printed)}
+    return {p: "".join(letter[b] for b in chr(p).encode()) for p in [*range(0xA0, 0x250), *range(0x2000, 0x2100)]}
+
+
 class WordIds:
-    """ids of whole texts, as little-endian 32-bit numbers, by a table of what white space parts."""
+    """ids of whole texts, as little-endian 32-bit numbers, by a table of what white space parts.
+
+    Words that aren't in the table are merged by the vocabulary's model alone, many in one call.
+    """
 
     def __init__(self, path: str, limit: int = WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
+        self.merger = Tokenizer.from_str(json.dumps(parts))
+        self.letters = _bytes_as_letters()
+        # a word's last token, and no other one, ends in the mark of a word's end
+        self.ends = np.zeros(self.merger.get_vocab_size(), bool)
+        self.ends[[k for token, k in self.merger.get_vocab().items() if token.endswith("</w>")]] = True
         self.limit = limit
         self.table: dict[str, bytes] = {}
 
@@ -54,28 +74,31 @@ class WordIds:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Encode many strings as one text: the tokenizer says which of its words each id is of."""
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            ends = np.cumsum([len(_WORDS.findall(w)) for w in some])
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            word_of = np.array(found.word_ids, np.int64)
-            if len(word_of) and word_of[-1] + 1 == ends[-1]:
-                ids = np.array(found.ids, "<u4").tobytes()
-                cuts = (4 * np.concatenate(([0], np.searchsorted(word_of, ends, "left")))).tolist()
-                self.table.update(zip(some, [ids[i:j] for i, j in zip(cuts, cuts[1:])]))
-            else:
-                self.table.update(zip(some, self._whole(some)))
+        if len(self.table) + len(new) > self.limit:  # the first strings met are the frequent ones
+            self.table = dict(itertools.islice(self.table.items(), self.limit // 4))
+        for some in (part[k : k + 1024] for plain in (True, False) for part in [[w for w in new if w.isascii() is plain]] for k in range(0, len(part), 1024)):
+            words = [[w] if w.isalpha() else _WORDS.findall(w) for w in some]
+            ends = np.cumsum([*map(len, words)])
+            joined = " ".join(itertools.chain.from_iterable(words))
+            [found] = self.merger.encode_batch_fast([joined if joined.isascii() else joined.translate(self.letters)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            after = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+            cuts = [0, *(4 * after[ends]).tolist()]
+            ids = ids.tobytes()
+            self.table.update(zip(some, [ids[i:j] for i, j in zip(cuts, cuts[1:])]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        if len(self.table) > self.limit:
-            self.table.clear()
-        distinct = set().union(*filter(None, split))
-        self._learn([w for w in distinct if w not in self.table])
-        get = self.table.__getitem__
+        found = [[] if ws is None else [*map(self.table.get, ws)] for ws in split]
+        gaps = [[i for i, b in enumerate(row) if b is None] if None in row else [] for row in found]
+        new = {ws[i] for ws, at in zip(split, gaps) for i in at}
+        if new:
+            self._learn([*new])
+            for ws, row, at in zip(split, found, gaps):
+                for i in at:
+                    row[i] = self.table[ws[i]]
         whole = iter(self._whole([t for t, ws in zip(texts, split) if ws is None]))
-        return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in split]
+        return [next(whole) if ws is None else b"".join(row) for ws, row in zip(split, found)]
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
