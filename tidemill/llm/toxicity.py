@@ -25,10 +25,11 @@ columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, word_hashes
+from .common import map_texts, stage_table, word_hashes
 from .decontaminate import FOLD
 from .langid import fold_of
 
@@ -61,36 +62,27 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))
 
 
-def select_features(positive: list[np.ndarray], unlabelled: list[np.ndarray], most: int) -> np.ndarray:
-    """The features in which the two samples differ most, by a two-proportion z score of at least 3."""
-    features, counts = np.unique(np.concatenate(positive), return_counts=True)
-    u_features, u_counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *unlabelled]), return_counts=True)
-    features, counts = features[counts >= 3], counts[counts >= 3]
-    at = np.minimum(np.searchsorted(u_features, features), max(len(u_features) - 1, 0))
-    other = np.where(u_features[at] == features, u_counts[at], 0) if len(u_features) else np.zeros(len(features))
-    n, m = len(positive), max(len(unlabelled), 1)
-    p, q = counts / n, other / m
-    pooled = (counts + other) / (n + m)
-    z = (p - q) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n + 1 / m), 1e-12))
-    # much more frequent, not only surely so: the language that most positives are in isn't a sign
-    best = np.argsort(-np.where((z >= 3) & (p >= 1.5 * q), z, 0), kind="stable")[:most]
-    return np.sort(features[best[(z >= 3)[best] & (p >= 1.5 * q)[best]]])
+def select_features(rows: DataFrame, most: int) -> np.ndarray:
+    """The sorted features most surely more frequent in positives (side 2) than in unlabelled rows (side 1).
 
+    Surely: a two-proportion z score of 3 or more.  Much more, too (half as much again): that most positives
+    are in one language isn't a sign.  Counted on the executors; at most ``most`` rows come to the driver.
+    """
+    n, m = (F.lit(float(max(k, 1))) for k in (rows.filter("side = 2").count(), rows.filter("side = 1").count()))
+    counts = rows.select("side", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("side") == 2).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    p, q, pooled = F.col("a") / n, F.col("b") / m, (F.col("a") + F.col("b")) / (n + m)
+    z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled) * (1 / n + 1 / m), F.lit(1e-12)))
+    best = counts.filter((F.col("a") >= 3) & (p >= 1.5 * q) & (z >= 3)).orderBy(F.desc(z), "f").limit(most)
+    return np.sort(np.array([r.f for r in best.select("f").collect()], np.int64).view(np.uint64))
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, epochs: int = 400, rate: float = 0.05, decay: float = 3e-4) -> Classifier:
+
+def fit(features: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 3e-4) -> Classifier:
     """Non-negative positive-unlabelled logistic regression over sparse presence features, by Adam."""
     if not positive:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    features = select_features(positive, unlabelled, most)
 
     def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        owner, column = [], []
-        for k, row in enumerate(rows):
-            at = np.minimum(np.searchsorted(features, row), max(len(features) - 1, 0))
-            at = at[features[at] == row] if len(features) else at[:0]
-            owner.append(np.full(len(at), k))
-            column.append(at)
-        return np.concatenate([np.zeros(0, np.int64), *owner]), np.concatenate([np.zeros(0, np.int64), *column])
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows])
 
     sides = [(len(rows), *sparse(rows)) for rows in (positive, unlabelled)]
     d = len(features)
@@ -128,9 +120,25 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     spark = docs.sparkSession
     shared = spark.createDataFrame(list(wanted.items()) or [], "doc_id long, side int")
     sample = docs.join(F.broadcast(shared), "doc_id")  # at most positives + unlabelled ids
-    rows = map_texts(sample, ["side"], "features array<long>", lambda: lambda texts: [[d.view(np.int64) for d in _distinct(texts)]]).toPandas()
-    sets = {s: [np.asarray(x).view(np.uint64) for x in rows["features"][rows["side"] == s]] for s in (1, 2)}
-    return fit(sets[2], sets[1] + sets[2][: round(prior * len(sets[1]))], prior, most)
+    rows = stage_table(map_texts(sample, ["side"], "features array<long>", lambda: lambda texts: [[d.view(np.int64) for d in _distinct(texts)]]), "features")
+    features = select_features(rows, most)
+    known = spark.sparkContext.broadcast(features)
+
+    def columns(batches):
+        features = known.value
+        for batch in batches:
+            out = []
+            for row in batch.column(1):
+                row = np.asarray(row.values).view(np.uint64)
+                at = np.minimum(np.searchsorted(features, row), max(len(features) - 1, 0))
+                out.append(at[features[at] == row] if len(features) else at[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["side", "columns"])
+
+    sets: dict[int, list[np.ndarray]] = {1: [], 2: []}
+    for row in rows.select("side", "features").mapInArrow(columns, "side int, columns array<long>").toLocalIterator():
+        sets[row.side].append(np.array(row.columns, np.int64))
+    # the unlabelled sample was drawn without the positives: their share of the mixture comes back
+    return fit(features, sets[2], sets[1] + sets[2][: round(prior * len(sets[1]))], prior)
 
 
 def score(docs: DataFrame, model: Classifier, keep: list) -> DataFrame:
