@@ -125,15 +125,14 @@ def compare_with_next(docs: DataFrame, fraction: float = FRACTION, floor: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     begins = _ranges(rows)
     first_null = not rows.filter("doc_id is null").isEmpty()
-    begins_ = F.array(*map(F.lit, begins)).cast("array<long>")
-    # how many ranges begin at or before this id, by binary search over the literal array
     last = len(begins) - 1
-    home = F.coalesce(F.expr("0").cast("int"), F.lit(0)) if last < 0 else _range_of(begins, begins_)
+    home = _range_of(begins) if begins else F.lit(0)
+    rows = rows.withColumn("home", home)
     is_first = F.col("doc_id").isNull() if first_null else F.col("doc_id") == (begins[0] if begins else None)
     before = F.when(is_first, F.lit(max(last, 0)))
     if begins:
-        inner = F.array_contains(begins_, F.col("doc_id")) & (F.col("doc_id") > begins[0])
-        before = before.when(inner, home - 1)
+        before = before.when(F.col("doc_id").isin(begins[1:]), F.col("home") - 1)
+    home = F.col("home")
     rows = rows.withColumn("at", F.filter(F.array(F.struct(home.alias("range"), F.lit(False).alias("borrowed")), F.struct(before.alias("range"), F.lit(True).alias("borrowed"))), lambda x: x["range"].isNotNull()))
     rows = rows.select("doc_id", "text", F.explode("at").alias("at")).select("at.range", "at.borrowed", "doc_id", "text")
     ordered = rows.repartition("range").sortWithinPartitions("range", "borrowed", F.asc_nulls_first("doc_id"), "text")
@@ -169,12 +168,9 @@ def compare_with_next(docs: DataFrame, fraction: float = FRACTION, floor: int =
     return ordered.mapInArrow(run, schema)
 
 
-def _range_of(begins: list[int], begins_) -> F.Column:
-    """Index of the range that holds doc_id: a binary search written out as an expression of log2 steps."""
-    at = F.lit(0)
-    step = 1 << max(0, (len(begins) - 1).bit_length())
-    while step:
-        ahead = at + step
-        at = F.when((ahead < len(begins)) & (F.coalesce(F.get(begins_, ahead.cast("int")) <= F.col("doc_id"), F.lit(False))), ahead).otherwise(at)
-        step >>= 1
-    return F.coalesce(at, F.lit(0)).cast("int")
+def _range_of(begins: list[int], step: int = 100) -> F.Column:
+    """Index of the range that holds doc_id (0 for null), found in two steps: among every 100th begin, then between."""
+    typed = lambda values: F.array(*map(F.lit, values)).cast("array<long>")
+    reached = lambda values: F.size(F.filter(values, lambda b: b <= F.col("doc_id")))
+    coarse = F.greatest(reached(typed(begins[::step])) - 1, F.lit(0)) * step
+    return F.greatest(coarse + reached(F.slice(typed(begins), coarse + 1, step)) - 1, F.lit(0)).cast("int")
