@@ -20,6 +20,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import json
 import zlib
@@ -40,6 +41,7 @@ WORDS = 700_000
 # What the tokenizer's own pre-tokenizer takes as words, for texts of the plain kind below.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Latin text without combining marks, control or format characters: normalisation only lower-cases it.
+_ASCII = bytes([9, 10, 13, *range(32, 127)])
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-įĲ-ž‐-‧‰-⁞₠-₿]*+")
 
 
@@ -76,10 +78,26 @@ class WordIds:
     def _learn(self, new: list[str]) -> None:
         if len(self.table) + len(new) > self.limit:  # the first strings met are the frequent ones
             self.table = dict(itertools.islice(self.table.items(), self.limit // 4))
-        for some in (part[k : k + 1024] for plain in (True, False) for part in [[w for w in new if w.isascii() is plain]] for k in range(0, len(part), 1024)):
-            words = [[w] if w.isalpha() else _WORDS.findall(w) for w in some]
-            ends = np.cumsum([*map(len, words)])
-            joined = " ".join(itertools.chain.from_iterable(words))
+        table = self.table
+        # most new strings are a word, or a word and a mark that is one of its own
+        marked = [w for w in new if w[-1] in ".," and w[:-1].isalpha()]
+        words = {w[:-1] for w in marked}.difference(table)
+        words.update(w for w in new if w.isalpha())
+        self._merge([*words], None)
+        ends = {c: table.get(c) or self._whole([c])[0] for c in ".,"}
+        table.update([(w, table[w[:-1]] + ends[w[-1]]) for w in marked])
+        rest = [w for w in new if w not in table]
+        self._merge(rest, [*map(_WORDS.findall, rest)])
+
+    def _merge(self, new: list[str], words: list[list[str]] | None) -> None:
+        """Put the ids of strings into the table; words: those that each consists of, if not of itself alone."""
+        for k in range(0, len(new), 1024):
+            some = new[k : k + 1024]
+            if words is None:
+                joined, ends = " ".join(some), np.arange(1, len(some) + 1)
+            else:
+                parts = words[k : k + 1024]
+                joined, ends = " ".join(itertools.chain.from_iterable(parts)), np.cumsum([*map(len, parts)])
             [found] = self.merger.encode_batch_fast([joined if joined.isascii() else joined.translate(self.letters)], add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             after = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
@@ -87,18 +105,19 @@ class WordIds:
             ids = ids.tobytes()
             self.table.update(zip(some, [ids[i:j] for i, j in zip(cuts, cuts[1:])]))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        found = [[] if ws is None else [*map(self.table.get, ws)] for ws in split]
-        gaps = [[i for i, b in enumerate(row) if b is None] if None in row else [] for row in found]
-        new = {ws[i] for ws, at in zip(split, gaps) for i in at}
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        plain = [not t.translate(None, _ASCII) or (not t.isascii() and _PLAIN.fullmatch(t.decode("utf-8", "replace"))) for t in texts]
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        split = [t.lower().split() if ok and "<|" not in t else None for t, ok in zip(decoded, plain)]
+        new = set().union(*filter(None, split)).difference(self.table)
         if new:
             self._learn([*new])
-            for ws, row, at in zip(split, found, gaps):
-                for i in at:
-                    row[i] = self.table[ws[i]]
-        whole = iter(self._whole([t for t, ws in zip(texts, split) if ws is None]))
-        return [next(whole) if ws is None else b"".join(row) for ws, row in zip(split, found)]
+        whole = iter(self._whole([t for t, ws in zip(decoded, split) if ws is None]))
+        get = self.table.__getitem__
+        try:
+            return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in split]
+        except KeyError:  # the table was cut back while these texts' strings were learned
+            return [next(iter(self([t]))) if len(texts) > 1 else self._whole([t.decode("utf-8", "replace")])[0] for t in texts]
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -106,11 +125,12 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
 
     def make():
         ids_of = WordIds(path)
+        gc.disable()  # the table has no cycles, and walking it again and again takes longer than using it
         end = np.array([end_id], "<u4").tobytes()
 
         def f(texts: list[bytes | None]) -> list[list]:
             out = []
-            for ids in ids_of([(t or b"").decode("utf-8", "replace") for t in texts]):
+            for ids in ids_of([t or b"" for t in texts]):
                 ids += end
                 step = 4 * capacity
                 cuts = range(0, len(ids), step)
