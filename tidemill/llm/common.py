@@ -204,3 +204,21 @@ def salted_left_join(big: DataFrame, small: DataFrame, keys: list[str], by: str,
     left = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+
+
+#: Most bits of a bitmap: 2 million rows of 16 bytes are broadcast at most.
+MOST_BITS = 1 << 27
+
+
+def likely_in(rows: DataFrame, key: str, ids: DataFrame, n_ids: int, ids_key: str = "id") -> DataFrame:
+    """rows whose key may be among the ids, by a broadcast bitmap of hashed ids: all that are, and few others.
+
+    So the others' texts never enter a shuffle.  The bitmap has about 16 bits an id, ``MOST_BITS`` at most: beyond
+    that more rows come through, and the exact join that must follow still gives the same result.
+    """
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(n_ids, 1) - 1).bit_length()))
+    spot = F.xxhash64(ids_key).bitwiseAND(bits - 1).alias("s")
+    words = ids.select(spot).groupBy(F.expr("shiftright(s, 6)").alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("_bits"))
+    spotted = rows.withColumn("_spot", F.xxhash64(key).bitwiseAND(bits - 1)).withColumn("_word", F.expr("shiftright(_spot, 6)"))
+    found = spotted.join(F.broadcast(words), "_word").filter(F.expr("(_bits & shiftleft(1L, cast(_spot & 63 as int))) <> 0"))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns))

@@ -10,7 +10,7 @@ A corpus has far too many variants to shuffle them all, so they are emitted in t
 the lines that met another one on the level before; no level can part two lines within one edit:
 halves (an edit leaves the first or the last half alone), sixteenths (it leaves all of the line alone
 but one of 16 pieces), single characters of that piece.  Lines whose level-one key is met are fetched
-through a bitmap of fixed size, so texts of other lines aren't shuffled.
+through a bitmap of bounded size, so texts of other lines aren't shuffled.
 
 Equal lines are counted by 128-bit hashes with map-side aggregation; the decision is joined back to
 the occurrences with salted keys, so a line that is a third of all lines loads no single task.
@@ -30,12 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, mix, powers, salted_left_join, stage_table
+from .common import arrow_limits, likely_in, mix, powers, salted_left_join, stage_table
 
 FUZZY_CHARS = 20
 PIECES = 16
-#: Bits of the bitmap of lines to fetch, 4 MB; rows of 64 bits are broadcast.
-BITMAP = 1 << 25
 LAST = (1 << 63) - 1
 
 
@@ -157,12 +155,9 @@ def _variants(met: DataFrame, pieces: int) -> DataFrame:
 def _near(docs: DataFrame, distinct: DataFrame, fuzzy_chars: int, pieces: int) -> DataFrame:
     """(h1, h2) of the lines that an earlier line is within one edit of, but not equal to."""
     keyed = distinct.filter(F.col("halves").isNotNull()).select(F.explode("halves").alias("key"), F.col("h1").alias("id")).distinct()
-    ids = _met(keyed).select("id").distinct()
-    word, bit = F.shiftright(F.col("id").bitwiseAND(BITMAP - 1), 6), F.expr("shiftleft(1L, cast(id & 63 as int))")
-    bitmap = ids.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))  # at most BITMAP / 64 rows
+    ids = stage_table(_met(keyed).select("id").distinct(), "met")
     lines = _lines(docs).filter(F.length("line") >= fuzzy_chars).withColumn("id", F.col("h1"))
-    lines = lines.join(F.broadcast(bitmap), lines["id"].bitwiseAND(BITMAP - 1).bitwiseAND(-64) == F.shiftleft(bitmap["word"], 6))
-    lines = lines.filter(F.col("bits").bitwiseAND(bit) != 0)
+    lines = likely_in(lines, "id", ids, ids.count())  # lines that come through by chance meet no other one below
     found = lines.groupBy("id", "h2").agg(F.min(F.struct("o", "n")).alias("place"), F.first("line").alias("line"))
     found = stage_table(found.select("id", "h2", "place", "line"), "lines")
     met = _met(_second_level(found, pieces).distinct()).groupBy("id").agg(F.collect_set("key").alias("keys"))

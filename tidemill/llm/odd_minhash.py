@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, map_texts, mix, salted_left_join, shingle_hashes, stage_table, word_hashes
+from .common import arrow_limits, likely_in, map_texts, mix, salted_left_join, shingle_hashes, stage_table, word_hashes
 from .components import connected_components
 
 
@@ -186,7 +186,8 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning)
 
         return full
 
-    named = docs.join(needed.select("doc_id").distinct(), "doc_id", "left_semi")
+    named = needed.select("doc_id").distinct()
+    named = likely_in(docs, "doc_id", named, named.count(), "doc_id")  # the join with needed is exact
     sets = map_texts(named, ["doc_id"], "full binary", make).join(needed, "doc_id")
     none = F.lit(None)
     rows = sets.select("room", "i", "j", F.col("doc_id").alias("a"), none.cast("long").alias("b"), "full")

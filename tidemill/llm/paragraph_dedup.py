@@ -1,6 +1,6 @@
 """Substring dedup: paragraph MinHash banding, and repeated passages inside paragraphs.
 
-Paragraphs are the lines of ``PARAGRAPH_WORDS`` words or more.  Their sets of 5-word shingles are MinHashed,
+Paragraphs are the lines of ``PARAGRAPH_CHARS`` characters or more.  Their sets of 5-word shingles are MinHashed,
 with bands tuned for recall (``PARAGRAPHS``: a pair at the threshold is missed once in 2,500); colliding
 paragraphs are verified by exact Jaccard similarity on the full sets, and the components of the links are the
 clusters.
@@ -30,28 +30,22 @@ from pyspark.sql import functions as F
 from .common import map_texts, mix, powers, stage_table, word_hashes
 from .odd_minhash import Tuning, near_duplicates
 
-PARAGRAPH_WORDS, PASSAGE_WORDS, REACH = 32, 24, 4
+PARAGRAPH_CHARS, PASSAGE_WORDS, REACH = 160, 24, 4
 PARAGRAPHS = Tuning(share=(80, 100), bands=15, rows=4, bits=128)
 #: A paragraph's number is doc_id * LINES + line; longer texts have their further lines numbered as the last.
 LINES = 1 << 20
 
 
-def _paragraphs(docs: DataFrame, words: int) -> DataFrame:
-    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    n_words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    return lines.filter(F.length("text") >= 2 * words - 1).withColumn("n_words", n_words).filter(F.col("n_words") >= words)
-
-
-def repeated_paragraphs(docs: DataFrame, words: int = PARAGRAPH_WORDS, tuning: Tuning = PARAGRAPHS) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, chars: int = PARAGRAPH_CHARS, tuning: Tuning = PARAGRAPHS) -> DataFrame:
     """(doc_id, at, cluster_id, kept) of the paragraphs that are like others; at is the line's number."""
+    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     number = F.col("doc_id") * LINES + F.least(F.col("line"), F.lit(LINES - 1))
-    items = _paragraphs(docs, words).select(number.alias("doc_id"), "text")
+    items = lines.filter(F.length("text") >= chars).select(number.alias("doc_id"), "text")
     found = stage_table(near_duplicates(items, tuning).filter("grouped"), "paragraphs")
     document = F.shiftright("doc_id", LINES.bit_length() - 1)
     clusters = found.groupBy("component_id").agg(F.min(document).alias("lo"), F.max(document).alias("hi")).filter("lo <> hi")
     found = found.join(clusters, "component_id", "left_semi")
-    line = F.pmod("doc_id", F.lit(LINES))
-    return found.select(document.alias("doc_id"), line.alias("at"), F.col("component_id").alias("cluster_id"), "kept").distinct()
+    return found.select(document.alias("doc_id"), F.pmod("doc_id", F.lit(LINES)).alias("at"), F.col("component_id").alias("cluster_id"), "kept").distinct()
 
 
 def anchors(words: np.ndarray, offsets: np.ndarray, reach: int = REACH, length: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
