@@ -1 +1 @@
-"""Tidemill plans."""
+"""Tidemill plans: the catalogue of queries over tables."""
