@@ -92,8 +92,10 @@ class Model:
         for lang in self.languages:
             codes = [self.code.get(ord(c), _BLANK) for c in folded[lang]]
             table = suffix_automaton(codes, self.size)
+            # the last state has read nothing yet, or a letter that the labelled text lacks: all that follows is new
+            table = np.vstack((table, np.full((1, self.size), -1)))
             missing = table < 0
-            root = np.where(table[0] < 0, 0, table[0])
+            root = np.where(table[0] < 0, len(table) - 1, table[0])
             table = np.where(missing, root, table) * self.size
             self.tables.append((table.astype(np.uint32) | np.where(missing, _NEW, np.uint32(0))).ravel())
         # every code point of the basic plane: a letter of the alphabet, another letter, or a blank
@@ -139,8 +141,8 @@ class Model:
             running = np.searchsorted(-lengths[some], -np.arange(len(grid)), "left")
             owner = np.array(lane_of)[some]
             for language, table in enumerate(self.tables):
-                state = np.zeros(len(some), np.uint32)
-                count = np.ones(len(some), np.uint32)
+                state = np.full(len(some), len(table) - self.size, np.uint32)
+                count = np.zeros(len(some), np.uint32)
                 for row, n in zip(grid, running):
                     entry = table[state[:n] + row[:n]]
                     count[:n] += entry >> np.uint32(31)
