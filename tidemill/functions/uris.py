@@ -156,7 +156,7 @@ def surt_prefix(text: Column) -> Column:
 
 def host_prefix(prefix: Column) -> Column:
     """A prefix truncated to exactly its host."""
-    return F.concat(F.regexp_extract(prefix, r"^([^)]*?),?\)?(?:/.*)?$", 1), F.lit(",)"))
+    return F.concat(F.regexp_extract(prefix, r"^(\w+://\([^)]*?),?(?:\).*)?$", 1), F.lit(",)"))
 
 
 def domain_prefix(prefix: Column) -> Column:

@@ -1,7 +1,7 @@
 """WARC and ARC files as a data source: ``spark.read.format("webarchive").load(path)`` and ``df.write``.
 
-Reading: one partition a file, or one for each run of gzip members where ``membersPerPartition`` is set for
-gzipped files; records are streamed, one at a time in memory.  Columns: file, offset, length, type, record_id,
+Reading: one partition a file; records are streamed, one at a time in memory, and equality on file and offset
+seeks to the one record.  Columns: file, offset, length, type, record_id,
 date, target_uri, mimetype, ip, headers, payload.
 
 Options: ``archive`` auto (by name and content), warc or arc; ``mode`` PERMISSIVE (a damaged record ends its
@@ -62,6 +62,7 @@ class Members:
         self.buffer, self.pending, self.at = b"", b"", offset
         self.unzip = zlib.decompressobj(31) if self.zipped else None
         self.next_member = offset
+        self.within = False  # whether the member at hand has more to give
 
     def _more(self) -> bool:
         data = self.pending or self.raw.read(1 << 16)
@@ -72,6 +73,7 @@ class Members:
             self.buffer += data
             return True
         self.buffer += self.unzip.decompress(data)
+        self.within = not self.unzip.eof
         if self.unzip.eof:
             self.pending = self.unzip.unused_data
             self.next_member = self.raw.tell() - len(self.pending)
@@ -97,6 +99,15 @@ class Members:
             return self.next_member
         return self.at
 
+    def end_record(self) -> int:
+        """Pass what follows a record in its own member; the offset of the next record."""
+        while True:
+            stripped = self.buffer.lstrip(b"\r\n")
+            self.at += 0 if self.zipped else len(self.buffer) - len(stripped)
+            self.buffer = stripped
+            if self.buffer or not self.within or not self._more():
+                return self.offset()
+
     def skip_blank(self) -> bool:
         """Go to the next record; whether there is one."""
         while True:
@@ -132,15 +143,15 @@ def warc_records(stream: Members, file: str, payload: bool = True) -> Iterator[t
         fields = parse_fields(block)
         headers = dict(fields)
         low = {k.lower(): v for k, v in fields}
+        if "content-length" not in low:
+            raise ValueError(f"cut off at {start} of {file}")
         length = int(low["content-length"])
         body = stream.read(length)
         if len(body) < length:
             raise ValueError(f"cut off at {start} of {file}")
         uri = low.get("warc-target-uri")
         yield (file, start, length, low.get("warc-type"), low.get("warc-record-id"), _date(low.get("warc-date", "")), uri and uri.strip("<>"), low.get("content-type"), low.get("warc-ip-address"), headers, body if payload else None)
-        while stream.buffer[:1] in (b"\r", b"\n") or (not stream.buffer and stream.pending and not stream.zipped):
-            stream.read(1)
-        start = stream.offset()
+        start = stream.end_record()
 
 
 def arc_records(stream: Members, file: str, payload: bool = True) -> Iterator[tuple]:
@@ -158,9 +169,7 @@ def arc_records(stream: Members, file: str, payload: bool = True) -> Iterator[tu
             raise ValueError(f"cut off at {start} of {file}")
         kind = "filedesc" if uri.startswith(_ARC_VERSION) else "response"
         yield (file, start, int(length), kind, None, _date(date), uri, mime, ip, {}, body if payload else None)
-        if stream.zipped:
-            stream.skip_blank()
-        start = stream.offset()
+        start = stream.end_record()
 
 
 def kind_of(path: str) -> str:
@@ -249,7 +258,7 @@ class ArchiveWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         o = self.options
-        archive, zipped, most = o.get("archive", "warc"), o.get("gzip", "true") == "true", int(float(o.get("maxBytes", "1e9")))
+        archive, zipped, most = o.get("archive", "warc"), o.get("gzip", "true") == "true", int(float(o.get("maxbytes", "1e9")))
         os.makedirs(self.path, exist_ok=True)
         files: list[str] = []
         out: io.BufferedWriter | None = None
