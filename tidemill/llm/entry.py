@@ -67,4 +67,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_secret_scan": secret_scan.sql(), "op5_line_dedup": line_dedup.SQL, "op6_odd_minhash": odd_minhash.SQL}

@@ -202,3 +202,31 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
     return joined.select(*columns, n.cast("long").alias("n_lines"), F.coalesce(n - F.size("kept"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+#: Variants are compared by 64-bit hashes here too; positions tell substitutions from other pairs of edits.
+SQL = r"""
+with line as (
+    select doc_id, n, string_split(text, chr(10))[n] as l from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(n)
+), distinct_line as (
+    select l, min((doc_id, n)) as place from line where trim(l) <> '' group by l
+), variant as (
+    select l, place, p, hash(left(l, p - 1) || substr(l, p + 1)) as v, length(l) - 1 as m from distinct_line, unnest(range(1, length(l) + 1)) as u(p) where length(l) >= 20
+), self as (
+    select l, place, hash(l) as v, length(l) as m from distinct_line where length(l) >= 20
+), same_place as (
+    select v, m, p, min(place) as earliest from variant group by v, m, p
+), longer as (
+    select v, m, min(place) as earliest from variant group by v, m
+), near as (
+    select l from variant join same_place using (v, m, p) where earliest < place
+    union select a.l from variant a join self b on a.v = b.v and a.m = b.m where b.place < a.place
+    union select b.l from self b join longer a on a.v = b.v and a.m = b.m where a.earliest < b.place
+), judged as (
+    select line.doc_id, line.n, line.l, trim(line.l) <> '' and ((line.doc_id, line.n) <> d.place or near.l is not null) as gone
+    from line left join distinct_line d on d.l = line.l left join near on near.l = line.l
+)
+select doc_id, coalesce(string_agg(l, chr(10) order by n) filter (not coalesce(gone, false)), '') as text,
+    count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_removed
+from judged group by doc_id
+"""

@@ -270,3 +270,28 @@ def keep_one(docs: DataFrame, tuning: Tuning = DOCUMENTS) -> DataFrame:
     """docs with one document of each group: the least doc_id.  All columns are passed on."""
     gone = near_duplicates(docs, tuning).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
+SQL = r"""
+with recursive words as (
+    select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> '') as ws
+    from documents
+), shingle as (
+    select distinct doc_id, array_to_string(ws[k:k + 4], ' ') as s
+    from words, unnest(range(1, greatest(1, len(ws) - 4) + 1)) as u(k) where len(ws) > 0
+), size as (
+    select doc_id, count(*) as n from shingle group by doc_id
+), link as (
+    select a.doc_id as a, b.doc_id as b from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id
+    join size x on x.doc_id = a.doc_id join size y on y.doc_id = b.doc_id
+    group by a.doc_id, b.doc_id, x.n, y.n having 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), edge as (
+    select a, b from link union all select b, a from link
+), reach as (
+    select doc_id as a, doc_id as b from documents union select reach.a, edge.b from reach join edge on edge.a = reach.b
+), component as (
+    select a as doc_id, min(b) as component_id from reach group by a
+)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept
+from documents left join size using (doc_id) join component using (doc_id)
+"""

@@ -20,7 +20,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
+import functools
 import itertools
 import json
 import zlib
@@ -120,12 +120,17 @@ class WordIds:
             return [next(iter(self([t]))) if len(texts) > 1 else self._whole([t.decode("utf-8", "replace")])[0] for t in texts]
 
 
+@functools.lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One table for all tasks that a worker process runs."""
+    return WordIds(path)
+
+
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the pieces of each document."""
 
     def make():
-        ids_of = WordIds(path)
-        gc.disable()  # the table has no cycles, and walking it again and again takes longer than using it
+        ids_of = word_ids(path)
         end = np.array([end_id], "<u4").tobytes()
 
         def f(texts: list[bytes | None]) -> list[list]:

@@ -39,8 +39,8 @@ BASE = (
     ("hex", 2, "[0-9a-f]{24,}", 24),
 )
 WEAK = (
-    ("identifier", 3, r"""(?<![A-Za-z0-9])(?:[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:_?[Ii][Dd])?|[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee]|_?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""),
-    ("key", 4, "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}"),
+    ("identifier", 3, r"""(?:[Cc][Ll][Ii][Ee][Nn][Tt]_?[Ii][Dd]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt](?:_?[Ii][Dd])?|[Uu][Ss][Ee][Rr](?:_?[Nn][Aa][Mm][Ee]|_?[Ii][Dd])?|[Ll][Oo][Gg][Ii][Nn])["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{3,}"""),
+    ("key", 4, "[A-Za-z0-9+/_-]{32,}={0,2}"),
     ("endpoint", 5, r"""[Hh][Tt][Tt][Pp][Ss]?://[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\x00-\x20"'<>]*)?"""),
 )
 
@@ -109,3 +109,30 @@ def scan(docs: DataFrame, scope_chars: int = SCOPE_CHARS) -> DataFrame:
         _digest(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda x: x["o"] >= 3)).cast("long").alias("n_linked"),
     )
+
+
+def _sql_spans(kind: str, order: int, pattern: str, keep: str = "true") -> str:
+    p = pattern.replace("'", "''")
+    return f"""select r, '{kind}' as kind, {order} as o, ms[k] as m,
+        (coalesce(list_sum(list_transform(ps[:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[:k - 1], lambda x: length(x))), 0))::bigint as s
+    from (select r, regexp_extract_all(text, '{p}', 0) as ms, string_split_regex(text, '{p}') as ps from t where regexp_matches(text, '{p}')), unnest(range(1, len(ms) + 1)) as u(k)
+    where {keep}"""
+
+
+def sql(scope_chars: int = SCOPE_CHARS) -> str:
+    """The same scan for DuckDB."""
+    assign = BASE[0][2].replace("'", "''")
+    keeps = {"assign": f"length(regexp_extract(ms[k], '{assign}', 2)) >= 6", "key": "regexp_matches(ms[k], '[0-9]') and regexp_matches(ms[k], '[a-z]') and regexp_matches(ms[k], '[A-Z]')"}
+    spans = " union all ".join(_sql_spans(k, o, p, keeps.get(k, "true")) for k, o, p, *_ in (*BASE, *WEAK))
+    near = " or ".join
+    sides = {role: near((f"coalesce(s - {role}_end <= {scope_chars}, false)", f"coalesce({role}_start - e <= {scope_chars}, false)")) for role in ("id", "secret")}
+    roles = {"id": "kind in ('access', 'identifier')", "secret": "kind in ('assign', 'hex', 'key')", "strong": "o < 3"}
+    swept = ", ".join(f"max(e) filter ({w}) over before as {r}_end, min(s) filter ({w}) over after as {r}_start" for r, w in roles.items())
+    joined = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, o, e) filter ({where}), '')"
+    return f"""with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), found as ({spans}),
+    p as (select r, kind, o, s, s + length(m) as e from found),
+    w as (select *, {swept} from p window before as (partition by r order by s, o rows between unbounded preceding and 1 preceding), after as (partition by r order by s desc, o desc rows between unbounded preceding and 1 preceding)),
+    x as (select *, o < 3 or (case kind when 'key' then {sides["id"]} when 'identifier' then {sides["secret"]} else ({sides["id"]}) and ({sides["secret"]}) end and not (coalesce(strong_end > s, false) or coalesce(strong_start < e, false))) as report from w)
+    select doc_id, count(*) filter (kind = 'assign')::bigint as n_assign, count(*) filter (kind = 'access')::bigint as n_access, count(*) filter (kind = 'hex')::bigint as n_hex,
+        sha256({joined("o < 3")}) as base_sha256, {joined("report")} as spans, count(*) filter (o >= 3 and report)::bigint as n_linked
+    from t left join x using (r) group by r, doc_id"""
