@@ -96,7 +96,12 @@ def first_line(lines: DataFrame, pattern: str, number: str = "line_no") -> DataF
     return lines.filter(F.regexp_like("value", F.lit(pattern))).agg(F.min(number).alias(number))
 
 
-def cdx_lines(records: DataFrame) -> DataFrame:
-    """An index of archive records, one line each."""
+def cdx_line() -> Column:
+    """A line of an index of archive records, from their columns."""
     c = text.dash_if_none
-    return records.select(F.concat_ws(" ", text.digits_date(F.col("date")), c(F.col("ip")), c(F.col("target_uri")), c(F.col("mimetype")), c(F.col("status")), c(F.col("digest")), c(F.col("offset")), c(F.col("length")), c(F.col("file"))).alias("value"))
+    names = ("ip", "target_uri", "mimetype", "status", "digest", "offset", "length", "file")
+    return F.concat_ws(" ", text.digits_date(F.col("date")), *(c(F.col(n)) for n in names))
+
+
+def cdx_lines(records: DataFrame) -> DataFrame:
+    return records.select(cdx_line().alias("value"))
