@@ -177,8 +177,7 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 def find_contamination(docs: DataFrame, items: DataFrame, keep: list, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The kept columns and n_words, hits (ranges of hit words), items (item_ids found, as strings, sorted)."""
     spark = docs.sparkSession
-    state = docs.select(*keep, F.col("text").cast("string").alias("_t"), F.lit(0).cast("long").alias("n_words"))
-    names = state.columns[:-2]
+    names = docs.select(*keep).columns
     state = None
     for block in blocks(items, window, block_words):
         shared = spark.sparkContext.broadcast(block)

@@ -214,31 +214,43 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning)
 
 
 def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, tuning: Tuning) -> DataFrame:
-    """Likely pairs of different components within buckets that hold several, compared in blocks."""
+    """Likely pairs of different components within buckets that hold several, compared in blocks.
+
+    A bucket's members are those of its least component (most of them, as a rule) and the rest.  Blocks of the
+    rest meet one another and all blocks of the others; members of one component never meet for nothing, so a
+    bucket of a million copies and one stranger costs a million comparisons.
+    """
     member = shared.select("key", "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     member = member.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    least = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
     # buckets of two were compared in whole already
-    open_ = member.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.filter("n > 2 and lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = member.join(open_, "key").join(reps.select("rep", "odd"), "rep")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "component", "odd")
+    member = member.join(least.filter("n > 2 and lo <> hi"), "key").withColumn("rest", F.col("component") != F.col("lo"))
+    blocks = member.groupBy("key").agg(*(F.ceil(F.greatest(F.count_if(F.col("rest") == r), F.lit(1)) / BLOCK).cast("int").alias(f"blocks_{r}") for r in (True, False)))
+    rows = member.join(blocks.toDF("key", "rests", "others"), "key").join(reps.select("rep", "odd"), "rep")
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("others"))).cast("int")
+    unit = lambda rest, i, j: F.struct(F.lit(rest).alias("among_rest"), i.alias("i"), j.alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = rows.withColumn("block", block)
+    own = F.concat(F.transform(upto("rests"), lambda k: unit(True, F.least("block", k), F.greatest("block", k))), F.transform(upto("others"), lambda k: unit(False, F.col("block"), k)))
+    rows = rows.withColumn("unit", F.explode(F.when(F.col("rest"), own).otherwise(F.transform(upto("rests"), lambda k: unit(False, k, F.col("block"))))))
+    rows = rows.select("key", "unit.*", "rest", "block", "rep", "component", "odd")
 
     def compare(batch: pa.Table) -> pa.Table:
         sketch = _sketches(batch.column("odd"), tuning)
-        block, rep, component = (batch.column(c).to_numpy() for c in ("block", "rep", "component"))
+        rest, block, rep, component = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rest", "block", "rep", "component"))
         i, j = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        among = batch.column("among_rest")[0].as_py()
+        left = np.flatnonzero(rest & (block == i))
+        right = np.flatnonzero(rest & (block == j)) if among else np.flatnonzero(~rest)
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in left:
-            fit = right[(component[right] != component[k]) & ((rep[right] > rep[k]) | (i != j))]
+            fit = right[(component[right] != component[k]) & ((rep[right] > rep[k]) | (not among) | (i != j))]
             fit = fit[estimate(different_bits(sketch[fit], sketch[k]), tuning) >= tuning.least]
             a.append(np.minimum(rep[fit], rep[k]))
             b.append(np.maximum(rep[fit], rep[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "among_rest", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS) -> DataFrame:

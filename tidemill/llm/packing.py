@@ -34,7 +34,7 @@ from tokenizers import Tokenizer
 
 from .common import map_texts, stage_table
 
-CAPACITY, END_ID, SALTS = 4096, 1, 16
+CAPACITY, END_ID, SALTS = 4096, 1, 32
 #: Strings between white space whose ids a task keeps: about 140 MB.
 WORDS = 700_000
 

@@ -32,7 +32,7 @@ from .odd_minhash import Tuning, near_duplicates
 
 PARAGRAPH_CHARS, PASSAGE_WORDS, REACH = 160, 24, 4
 PARAGRAPHS = Tuning(share=(80, 100), bands=15, rows=4, bits=128)
-#: A paragraph's number is doc_id * LINES + line; longer texts have their further lines numbered as the last.
+#: A paragraph's number is doc_id * LINES + line, so doc_ids must be below 2^43; longer texts have their further lines numbered as the last.
 LINES = 1 << 20
 
 

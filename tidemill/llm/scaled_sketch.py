@@ -105,7 +105,7 @@ def _edit(text: str, following: str) -> str:
 def _ranges(docs: DataFrame) -> list[int]:
     """doc_ids that begin the ranges in which documents are compared with the next one: at most 10,000."""
     spark = docs.sparkSession
-    n = min(10_000, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = min(10_000, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.agg(F.min("doc_id"), F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000)).first()
     # these are doc_ids of rows, so each range's first document is known
