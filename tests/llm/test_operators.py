@@ -35,7 +35,7 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
-# ---------------------------------------------------------------- 1
+# ---- 1
 
 
 def test_decontamination_finds_windows_and_longest_matches(make, spark):
@@ -75,7 +75,7 @@ def test_decontamination_of_odd_rows(odd, nothing, spark):
     assert not decontaminate.contamination(odd, items.limit(0)).filter("contaminated").count()
 
 
-# ---------------------------------------------------------------- 2
+# ---- 2
 
 
 def test_secrets_base_and_linked_spans(make):
@@ -122,7 +122,7 @@ def test_secret_scan_runs_no_python(odd):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-# ---------------------------------------------------------------- 3
+# ---- 3
 
 
 def test_sketches_compare_and_merge():
@@ -161,7 +161,7 @@ def test_fingerprints_of_odd_rows(odd, nothing, make):
     assert scaled_sketch.compare_with_next(nothing).count() == 0
 
 
-# ---------------------------------------------------------------- 4
+# ---- 4
 
 
 def test_pii_patterns_against_plain_search():
@@ -207,7 +207,7 @@ def test_pii_of_texts(make, odd, nothing):
     assert pii_crf.scan(odd).count() == len(ODD) and pii_crf.scan(nothing).count() == 0
 
 
-# ---------------------------------------------------------------- 5
+# ---- 5
 
 
 def within_one(a, b):
@@ -255,7 +255,7 @@ def test_line_dedup_of_odd_rows(odd, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-# ---------------------------------------------------------------- 6
+# ---- 6
 
 
 def test_near_duplicates_against_all_pairs(make):
@@ -324,7 +324,7 @@ def test_salted_join_is_a_left_join(spark):
     assert out.filter("v = 'x'").count() == out.count() == 200
 
 
-# ---------------------------------------------------------------- 7
+# ---- 7
 
 
 def test_packing_round_trip(make, odd, nothing):
@@ -382,7 +382,7 @@ def test_best_two_fit_over_counts_equals_bin_by_bin():
         assert sum(n for _, n in bins) == len(one_by_one(lengths, 64))
 
 
-# ---------------------------------------------------------------- 8
+# ---- 8
 
 
 def test_suffix_automaton_parses_greedily():
@@ -416,7 +416,7 @@ def test_languages_of_rows(make, odd, nothing):
     assert langid.held_out_languages(nothing).count() == 0
 
 
-# ---------------------------------------------------------------- 9
+# ---- 9
 
 
 def test_repeated_passages_and_paragraphs(make):
@@ -442,7 +442,7 @@ def test_repeated_parts_of_odd_rows(odd, nothing):
     assert paragraph_dedup.repeated_parts(nothing).count() == 0
 
 
-# ---------------------------------------------------------------- 10
+# ---- 10
 
 
 def test_toxicity_of_held_out_rows(make, odd, nothing, spark):
@@ -473,7 +473,7 @@ def test_risk_stays_non_negative():
     assert abs(model.bias) < 2 and np.abs(model.weights).max() < 2
 
 
-# ---------------------------------------------------------------- scratch
+# ---- scratch
 
 
 def test_scratch_is_released(spark, odd):

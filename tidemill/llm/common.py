@@ -29,7 +29,7 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
 
-# ---------------------------------------------------------------- scratch tables
+# ---- scratch tables
 
 
 def _remove(path: str) -> None:
@@ -69,7 +69,7 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-# ---------------------------------------------------------------- Arrow batches
+# ---- Arrow batches
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
@@ -89,7 +89,7 @@ def chunks(texts: list[bytes | None], limit: int = CHUNK_BYTES) -> Iterator[tupl
         yield begin, len(texts)
 
 
-# ---------------------------------------------------------------- hashes
+# ---- hashes
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -171,7 +171,7 @@ def unique_per_text(hashes: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndar
         yield np.unique(hashes[a:b])
 
 
-# ---------------------------------------------------------------- DataFrame helpers
+# ---- DataFrame helpers
 
 
 def map_texts(df: DataFrame, keep: list, fields: str, make: Callable, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:

@@ -79,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-# ---------------------------------------------------------------- the labelled table
+# ---- the labelled table
 
 TYPES = ("phone", "national", "mac")
 LABELS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
@@ -135,7 +135,7 @@ def labelled_table(rows: int = 900, seed: int = 11) -> list[list[tuple[str, str]
     return table
 
 
-# ---------------------------------------------------------------- shapes
+# ---- shapes
 
 #: Letters to x and X, digits to d, bytes of other characters to x, white space to the blank.
 SHAPE = bytes(ord("X") if 65 <= b <= 90 else ord("x") if 97 <= b <= 122 or b >= 128 else ord("d") if 48 <= b <= 57 else 32 if 9 <= b <= 13 else b for b in range(256))
