@@ -87,7 +87,7 @@ def test_shifted_status_wraps(spark):
     assert got == sorted((200, 0, 404, -1, 2), key=lambda s: (-s - 2147483647 + 2**31) % 2**32 - 2**31)
 
 
-# ---------------------------------------------------------------- archives
+# ---- archives
 
 
 def response(k: int) -> tuple:
@@ -144,7 +144,7 @@ def test_header_fields_fold(spark):
     assert archives.parse_fields(b"A: 1\r\n  2\r\n# no\r\nB:3\r\nA: 4\r\n") == [("A", "1 2"), ("B", "3"), ("A", "4")]
 
 
-# ---------------------------------------------------------------- lines
+# ---- lines
 
 
 def test_seed_and_journal_lines(spark):
@@ -163,7 +163,7 @@ def test_pages_of_logs(spark):
     assert lines.first_line(log, "^line 1").first().line_no == 1
 
 
-# ---------------------------------------------------------------- streams
+# ---- streams
 
 
 def test_stream_frontier_equals_the_batch(spark, tmp_path):

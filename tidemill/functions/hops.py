@@ -68,7 +68,7 @@ def transcluded_by_kind(hops: Column, speculative: int = 1, referral: int = -1,
     return (F.length(end) > 0) & reduce(lambda a, b: a & b, limits) & (F.length(end) <= most)
 
 
-# ---------------------------------------------------------------- status
+# ---- status
 
 
 def status_label(status: Column) -> Column:
@@ -93,7 +93,7 @@ def outcome(status: Column, attempts: Column, most: int = 30) -> Column:
     return F.when(needs_retry(status, attempts, most), "retry").when(is_success(status), "success").when(is_disregarded(status), "disregard").otherwise("failure")
 
 
-# ---------------------------------------------------------------- scheduling
+# ---- scheduling
 
 
 def scheduling(hops: Column, depth: int = -1, embeds: int = 1) -> Column:

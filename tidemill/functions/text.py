@@ -22,7 +22,7 @@ def digits_date(ts: Column, digits: int = 14) -> Column:
 
 
 def iso_date(ts: Column, millis: bool = False) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'" if millis else "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit("T"), F.date_format(ts, "HH:mm:ss.SSS" if millis else "HH:mm:ss"), F.lit("Z"))
 
 
 def parse_digits_date(digits: Column) -> Column:

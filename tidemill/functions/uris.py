@@ -124,7 +124,7 @@ def resolve(base: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([one(b, r) for b, r in zip(base, reference)], dtype=object)
 
 
-# ---------------------------------------------------------------- sort-friendly keys
+# ---- sort-friendly keys
 
 
 def surt(uri: Column, preserve_case: bool = False) -> Column:

@@ -62,7 +62,7 @@ def decisive(rules: Sequence[Column]) -> Column:
     return at
 
 
-# ---------------------------------------------------------------- predicates
+# ---- predicates
 
 
 def matches_list(column: Column, patterns: Sequence[str], any_of: bool = True) -> Column:
@@ -92,7 +92,7 @@ def too_many_hops(hops: Column, most: int = 20) -> Column:
     return hops_.hop_count(hops) > most
 
 
-def scheme_not_in(uri: Column, schemes: Sequence[str] = ("http", "https", "ftp", "dns", "whois")) -> Column:
+def scheme_not_in(uri: Column, schemes: Sequence[str] = ("dns", "ftp", "http", "https", "whois")) -> Column:
     return ~uris.scheme(uri).isin(*schemes)
 
 

@@ -24,7 +24,7 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{base}/tidemill-{name}-{uuid.uuid4().hex}"
 
 
-# ---------------------------------------------------------------- archives
+# ---- archives
 
 
 def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -70,7 +70,7 @@ def archive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.filter("same").agg(F.count("*").alias("records"), F.countDistinct("uri").alias("uris"))
 
 
-# ---------------------------------------------------------------- streams
+# ---- streams
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(crawl.generation(F.col("ts")).alias("generation")).agg(F.count("*").alias("n"))
 
 
-# ---------------------------------------------------------------- frontier and crawl rounds
+# ---- frontier and crawl rounds
 
 
 @query(f"""with {FETCHES} select page_id, case when right(hops, 1) = 'R' then case when contains(hops, 'L') then 2 else 1 end when length(regexp_extract(hops, '[^L]*$')) = 1 then 2 else 3 end as scheduling,
@@ -156,7 +156,7 @@ def crawl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-# ---------------------------------------------------------------- older generations
+# ---- older generations
 
 
 @query(f"""with {FETCHES}, t as (select page_id, uri, length(hops) - length(replace(hops, 'L', '')) as l, length(regexp_extract(hops, '[^L]*$')) as e from fetches)

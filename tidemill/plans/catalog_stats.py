@@ -11,7 +11,7 @@ from tidemill.sources import lines
 
 from .base import FETCHES, HOPS, fetches, query, table
 
-# ---------------------------------------------------------------- counters and reports
+# ---- counters and reports
 
 _WHAT = "case when status in (-50, -1, -2, -3, 0) then 'retry' when status > 0 then 'success' when status in (-9998, -5003, -5002, -5001, -5000, -5004, -6000) then 'disregard' else 'failure' end"
 _COUNTERS = """count(*) as scheduled, count(*) filter (what = 'success') as successes, count(*) filter (what = 'failure') as failures, count(*) filter (what = 'disregard') as disregards, count(*) filter (what = 'retry') as retries,
@@ -120,7 +120,7 @@ def histogram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.agg(F.sum("n").alias("total"), F.greatest(F.max("n"), F.lit(0).cast("long")).alias("largest"), F.max_by("event_type", F.col("n") * 100000 - F.ascii("event_type")).alias("largest_key"), F.count("*").alias("keys"))
 
 
-# ---------------------------------------------------------------- history
+# ---- history
 
 _REVISITS = "r as (select doc_id % 50 as uri, doc_id, case when doc_id % 9 = 4 then 304 else 200 end as status, length(text)::bigint as bytes, sha1(source) as digest from documents)"
 
@@ -174,7 +174,7 @@ def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recrawl.upsert(rows.filter("doc_id < 100"), rows.filter("doc_id >= 100"), "uri", "doc_id")
 
 
-# ---------------------------------------------------------------- queues
+# ---- queues
 
 _QUEUE = "q as (select event_id as ordinal, user_id as class_key, (case event_type when 'signup' then 1 when 'view' then 2 else 3 end) as scheduling, (floor(value)::int % 4) as precedence from events)"
 
@@ -245,7 +245,7 @@ def progress_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.snapshots(table(spark, sf_dir, "events"), "ts", 1200, {"docs": F.lit(1), "bytes": F.floor("value")})
 
 
-# ---------------------------------------------------------------- dedup, joins, paths
+# ---- dedup, joins, paths
 
 
 @query("select doc_id, text_digest from (select doc_id, sha1(text) as text_digest, row_number() over (partition by sha1(text) order by doc_id) as k from documents) where k = 1")
@@ -313,7 +313,7 @@ def as_of_last_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.as_of(events.select("event_id", "user_id", "ts"), "user_id", "ts", marks, "mark_ts", ["last_signup"]).select("event_id", "last_signup")
 
 
-# ---------------------------------------------------------------- logs
+# ---- logs
 
 _TAGS = "['F+', 'Fs', 'Fe', 'Ff', 'Fr'][(event_id % 5)::int + 1]"
 

@@ -128,7 +128,7 @@ def status_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fetches(spark, sf_dir).select("page_id", hops.outcome(s, F.lit(1)).alias("outcome"), hops.retry_delay(s).alias("retry_delay"), hops.status_label(s).alias("label"))
 
 
-# ---------------------------------------------------------------- scope
+# ---- scope
 
 _RULES = r"""with {f}, d as (select page_id, [null,
     'REJECT',
@@ -290,7 +290,7 @@ def robots_allow_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robots(spark, sf_dir, True)
 
 
-# ---------------------------------------------------------------- extraction
+# ---- extraction
 
 
 @query("""select distinct url as src, replace(regexp_replace(h, '^[^"]*"|"$', '', 'g'), '&amp;', '&') as dst, 'a/@href' as context, 'L' as hop

@@ -69,7 +69,7 @@ def format_crawl_log(rows: DataFrame) -> DataFrame:
     """Lines of twelve fields; what is missing is a dash."""
     dash = text.dash_if_none
     fields = (
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), text.pad(F.col("status"), 5), text.pad(dash(F.col("size")), 10), F.col("uri"), dash(F.col("hops")), dash(F.col("via")), text.mime(F.col("mime")),
+        text.iso_date(F.col("ts"), millis=True), text.pad(F.col("status"), 5), text.pad(dash(F.col("size")), 10), F.col("uri"), dash(F.col("hops")), dash(F.col("via")), text.mime(F.col("mime")),
         F.concat(F.lit("#"), text.pad(F.col("thread"), 3, "0")), dash(F.col("began")), dash(F.col("digest")), dash(F.col("source_tag")), dash(F.array_join("annotations", ",")),
     )
     return rows.select(F.concat_ws(" ", *fields).alias("value"))
