@@ -413,6 +413,8 @@ def test_languages_of_rows(make, odd, nothing):
     assert len(odd_rows) == len(ODD) and {(r.lang_pred, r.score) for r in odd_rows if r.doc_id in (1, 2, 3)} == {("und", 0.0)}
     kept = langid.keep_languages(odd, model, worst_rate=2)
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 3
+    few = langid.keep_languages(make({1: "A.", 2: "日本語の文章はここにあります", 3: "the cat sat", 4: "12 + 3"}), model)
+    assert {r.doc_id for r in few.collect()} == {1, 3}
     assert langid.held_out_languages(nothing).count() == 0
 
 

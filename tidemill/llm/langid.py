@@ -151,12 +151,12 @@ class Model:
         return out
 
 
-def rates(model: Model, texts: list[str | None]) -> np.ndarray:
-    """Phrases a character, by text and language; infinite for texts without a letter."""
+def rates(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases a character, by text and language (infinite for texts without a letter), and the texts' characters."""
     codes = [model.encode(t or "") for t in texts]
-    n = np.array([[len(c)] for c in codes], np.float64).reshape(-1, 1)
+    n = np.array([len(c) for c in codes], np.int64)
     counts = model.phrases(codes)
-    return np.where(n > 0, counts / np.maximum(n, 1), np.inf)
+    return np.where(n[:, None] > 0, counts / np.maximum(n, 1)[:, None], np.inf), n
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
@@ -173,7 +173,7 @@ def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: st
 
 
 def identify(docs: DataFrame, model: Model, keep: list, text: str = "text") -> DataFrame:
-    """The kept columns and lang_pred, score (0 to 1: how far the second language is behind), rate (phrases a character)."""
+    """The kept columns and lang_pred, score (0 to 1: how far the second language is behind), rate (phrases after the first, a character)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, model: Model, keep: list, text: str = "text") -> D
         def f(texts: list[bytes | None]) -> list[list]:
             if not model.languages:
                 return [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts)]
-            rate = rates(model, [None if t is None else t.decode("utf-8", "replace") for t in texts])
+            rate, n = rates(model, [None if t is None else t.decode("utf-8", "replace") for t in texts])
             best = rate.argmin(axis=1)
             ranked = np.sort(rate, axis=1)
             second = ranked[:, 1] if rate.shape[1] > 1 else np.ones(len(texts))
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: Model, keep: list, text: str = "text") -> D
             return [
                 [model.languages[b] if ok else "und" for b, ok in zip(best, found)],
                 score,
-                [float(r) if ok else None for r, ok in zip(ranked[:, 0], found)],
+                [float(r - 1 / k) if ok else None for r, k, ok in zip(ranked[:, 0], n, found)],
             ]
 
         return f
@@ -215,7 +215,8 @@ def held_out_languages(docs: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame, model: Model, worst_rate: float = 0.75) -> DataFrame:
     """docs whose text has a letter and parses as some language: fewer than ``worst_rate`` phrases a character.
 
-    At that rate phrases are hardly longer than one character: the text is of no language known.
+    At that rate phrases are hardly longer than one character: the text is of no language known.  The first
+    phrase isn't counted, so a text of a letter or two, which tells nothing, stays.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     found = identify(docs, model, [row])
