@@ -21,6 +21,7 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import gc
 import itertools
 import json
 import zlib
@@ -42,7 +43,7 @@ WORDS = 700_000
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 # Latin text without combining marks, control or format characters: normalisation only lower-cases it.
 _ASCII = bytes([9, 10, 13, *range(32, 127)])
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-\xAC\xAE-įĲ-ž‐-‧‰-⁞₠-₿]*+")
+_PLAIN = frozenset(map(chr, [9, 10, 13, *range(32, 127), *range(0xA1, 0xAD), *range(0xAE, 0x130), *range(0x132, 0x17F), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)]))
 
 
 def _bytes_as_letters() -> dict[int, str]:
@@ -106,8 +107,8 @@ class WordIds:
             self.table.update(zip(some, [ids[i:j] for i, j in zip(cuts, cuts[1:])]))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        plain = [not t.translate(None, _ASCII) or (not t.isascii() and _PLAIN.fullmatch(t.decode("utf-8", "replace"))) for t in texts]
         decoded = [t.decode("utf-8", "replace") for t in texts]
+        plain = [not b.translate(None, _ASCII) if b.isascii() else _PLAIN.issuperset(set(t)) for b, t in zip(texts, decoded)]
         split = [t.lower().split() if ok and "<|" not in t else None for t, ok in zip(decoded, plain)]
         new = set().union(*filter(None, split)).difference(self.table)
         if new:
@@ -134,6 +135,13 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
         end = np.array([end_id], "<u4").tobytes()
 
         def f(texts: list[bytes | None]) -> list[list]:
+            gc.disable()  # millions of strings that are in no cycle
+            try:
+                return cut(texts)
+            finally:
+                gc.enable()
+
+        def cut(texts: list[bytes | None]) -> list[list]:
             out = []
             for ids in ids_of([t or b"" for t in texts]):
                 ids += end
