@@ -55,7 +55,7 @@ def write_gate(status: Column, scheme: Column, kind: Column, skip_duplicates: bo
     """Why a fetch isn't written, as an annotation; null if it is."""
     return (
         F.when(status <= 0, "unwritten:status")
-        .when(~scheme.isin("http", "https", "ftp", "dns", "whois"), "unwritten:scheme")
+        .when(~scheme.isin("dns", "ftp", "http", "https", "whois"), "unwritten:scheme")
         .when(F.lit(skip_duplicates) & (kind == "duplicate"), "unwritten:identicalDigest")
     )
 
