@@ -34,6 +34,7 @@ from .decontaminate import FOLD
 from .langid import fold_of
 
 POSITIVES, UNLABELLED, FEATURES, PREFIX = 4000, 8000, 1500, 5
+LEAST_SHARE = 0.5
 
 
 def _distinct(texts: list[bytes | None]) -> list[np.ndarray]:
@@ -62,21 +63,22 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.logits(texts), -500, 500)))
 
 
-def select_features(rows: DataFrame, most: int) -> np.ndarray:
-    """The sorted features most surely more frequent in positives (side 2) than in unlabelled rows (side 1).
+def select_features(rows: DataFrame, prior: float, most: int) -> np.ndarray:
+    """The sorted features that are signs, and most surely so: of positives (side 2) against unlabelled rows (side 1; 3 is both).
 
-    Surely: a two-proportion z score of 3 or more.  Much more, too (half as much again): that most positives
-    are in one language isn't a sign.  Counted on the executors; at most ``most`` rows come to the driver.
+    A sign: by the prior and both frequencies, at least ``LEAST_SHARE`` of the documents that have it are positive
+    (so the language that most positives are in isn't one).  Surely: by a two-proportion z score of 3 or more.
+    Counted on the executors; at most ``most`` rows come to the driver.
     """
-    n, m = (F.lit(float(max(k, 1))) for k in (rows.filter("side = 2").count(), rows.filter("side = 1").count()))
-    counts = rows.select("side", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("side") == 2).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    n, m = (F.lit(float(max(rows.filter(f"side & {k} <> 0").count(), 1))) for k in (2, 1))
+    counts = rows.select("side", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.expr("side & 2 <> 0")).alias("a"), F.count_if(F.expr("side & 1 <> 0")).alias("b"))
     p, q, pooled = F.col("a") / n, F.col("b") / m, (F.col("a") + F.col("b")) / (n + m)
     z = (p - q) / F.sqrt(F.greatest(pooled * (1 - pooled) * (1 / n + 1 / m), F.lit(1e-12)))
-    best = counts.filter((F.col("a") >= 3) & (p >= 1.5 * q) & (z >= 3)).orderBy(F.desc(z), "f").limit(most)
+    best = counts.filter((F.col("a") >= 3) & (p * prior >= LEAST_SHARE * q) & (z >= 3)).orderBy(F.desc(z), "f").limit(most)
     return np.sort(np.array([r.f for r in best.select("f").collect()], np.int64).view(np.uint64))
 
 
-def fit(features: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 400, rate: float = 0.05, decay: float = 3e-4) -> Classifier:
+def fit(features: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 800, rate: float = 0.05, decay: float = 5e-5) -> Classifier:
     """Non-negative positive-unlabelled logistic regression over sparse presence features, by Adam."""
     if not positive:
         return Classifier(np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
@@ -105,6 +107,7 @@ def fit(features: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.nd
         m += 0.1 * (gradient - m)
         v += 0.01 * (gradient**2 - v)
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        np.maximum(w[:d], 0, out=w[:d])  # a sign of toxicity never speaks against it
     return Classifier(features, w[:d], float(w[d]))
 
 
@@ -116,12 +119,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     order = F.xxhash64("doc_id")
     toxic = labelled.filter("toxic > 0").select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(positives)
     all_ids = docs.select("doc_id").dropna().distinct().select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(unlabelled)
-    wanted = {r.doc_id: 1 for r in all_ids.collect()} | {r.doc_id: 2 for r in toxic.collect()}
+    wanted = {r.doc_id: 1 for r in all_ids.collect()}
+    for r in toxic.collect():  # 3: in both samples
+        wanted[r.doc_id] = wanted.get(r.doc_id, 0) | 2
     spark = docs.sparkSession
     shared = spark.createDataFrame(list(wanted.items()) or [], "doc_id long, side int")
     sample = docs.join(F.broadcast(shared), "doc_id")  # at most positives + unlabelled ids
     rows = stage_table(map_texts(sample, ["side"], "features array<long>", lambda: lambda texts: [[d.view(np.int64) for d in _distinct(texts)]]), "features")
-    features = select_features(rows, most)
+    features = select_features(rows, prior, most)
     known = spark.sparkContext.broadcast(features)
 
     def columns(batches):
@@ -134,11 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
                 out.append(at[features[at] == row] if len(features) else at[:0])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["side", "columns"])
 
-    sets: dict[int, list[np.ndarray]] = {1: [], 2: []}
+    sets: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
     for row in rows.select("side", "features").mapInArrow(columns, "side int, columns array<long>").toLocalIterator():
         sets[row.side].append(np.array(row.columns, np.int64))
-    # the unlabelled sample was drawn without the positives: their share of the mixture comes back
-    return fit(features, sets[2], sets[1] + sets[2][: round(prior * len(sets[1]))], prior)
+    return fit(features, sets[2] + sets[3], sets[1] + sets[3], prior)
 
 
 def score(docs: DataFrame, model: Classifier, keep: list) -> DataFrame:
