@@ -85,7 +85,7 @@ TYPES = ("phone", "national", "mac")
 LABELS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
 
 
-def labelled_table(rows: int = 900, seed: int = 11) -> list[list[tuple[str, str]]]:
+def labelled_table(rows: int = 450, seed: int = 11) -> list[list[tuple[str, str]]]:
     """Sentences of (word, label): invented words in four languages' shapes with personal data and look-alikes put in."""
     rng = np.random.default_rng(seed)
     letters = "abcdefghijklmnopqrstuvwxyzéüñß"
@@ -190,7 +190,7 @@ def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 @functools.cache
-def train(epochs: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Field:
+def train(epochs: int = 100, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Fit on the labelled table: Adam on the log-likelihood of all sentences at once, padded with O words."""
     table = labelled_table()
     index: dict[str, int] = {}
