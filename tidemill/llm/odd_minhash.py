@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -253,11 +253,14 @@ def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, tuning: Tuning
     return rows.groupBy("key", "among_rest", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, grouped, kept): groups of documents linked by similar shingle sets."""
+def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS, signer: Callable = _signer) -> DataFrame:
+    """(doc_id, n_shingles, component_id, grouped, kept): groups of documents linked by similar shingle sets.
+
+    signer: ``signer(tuning)`` gives the function of texts for ``map_texts``.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     fields = "n_shingles long, k1 long, k2 long, bands array<long>, odd binary"
-    signed = stage_table(map_texts(docs, ["doc_id"], fields, lambda: _signer(tuning)), "signed")
+    signed = stage_table(map_texts(docs, ["doc_id"], fields, lambda: signer(tuning)), "signed")
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
     reps = stage_table(reps, "classes")

@@ -1,9 +1,10 @@
 """Substring dedup: paragraph MinHash banding, and repeated passages inside paragraphs.
 
-Paragraphs are the lines of ``PARAGRAPH_CHARS`` characters or more.  Their sets of 5-word shingles are MinHashed,
-with bands tuned for recall (``PARAGRAPHS``: a pair at the threshold is missed once in 2,500); colliding
-paragraphs are verified by exact Jaccard similarity on the full sets, and the components of the links are the
-clusters.
+Paragraphs are the lines that aren't blank, however short.  Those with equal sets of 5-word shingles are one class
+(a line of fewer words has one shingle, all its words).  The sets are MinHashed, with bands tuned for recall
+(``PARAGRAPHS``: a pair at the threshold is missed once in 2,500); colliding paragraphs are verified by exact
+Jaccard similarity on the full sets, and the components of the links are the clusters.  A set so small that one
+more shingle takes it below the threshold can only equal another, so it needs no bands.
 
 A passage that documents share may lie within longer paragraphs that are unlike as wholes.  So the words of
 each text also have anchors, the words whose hash is least among their ``REACH`` neighbours either side, which
@@ -27,21 +28,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, powers, stage_table, word_hashes
+from .common import map_texts, mix, powers, shingle_hashes, stage_table, word_hashes
 from .odd_minhash import Tuning, near_duplicates
 
-PARAGRAPH_CHARS, PASSAGE_WORDS, REACH = 160, 24, 4
+PASSAGE_WORDS, REACH = 24, 4
 PARAGRAPHS = Tuning(share=(80, 100), bands=15, rows=4, bits=128)
 #: A paragraph's number is doc_id * LINES + line, so doc_ids must be below 2^43; longer texts have their further lines numbered as the last.
 LINES = 1 << 20
-
-
-def repeated_paragraphs(docs: DataFrame, chars: int = PARAGRAPH_CHARS, tuning: Tuning = PARAGRAPHS) -> DataFrame:
+#: Shingles whose samples are held at once.
+BLOCK_SHINGLES = 4096
+
+
+def _line_signer(tuning: Tuning):
+    """Signatures as of ``near_duplicates``, of all lines of a chunk at once: most lines are short."""
+    bands, rows, samples = tuning.bands, tuning.rows, tuning.samples
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 31, (samples, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    b = rng.integers(0, 1 << 32, (samples, 1), dtype=np.uint32)
+    factors = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    sample_keys = mix(np.arange(samples, dtype=np.uint64))
+    other = rng.integers(0, 1 << 63, dtype=np.uint64)
+
+    def samples_of(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(line, sample) of the lines that begin at these places of x."""
+        out = np.full((len(begin), samples), 0xFFFFFFFF, np.uint32)
+        ends = np.append(begin[1:], len(x))
+        i = 0
+        while i < len(begin):
+            j = max(i + 1, int(np.searchsorted(ends, begin[i] + BLOCK_SHINGLES, "right")))
+            for k in range(begin[i], ends[j - 1], BLOCK_SHINGLES):  # more than once for a long line alone
+                block = a * x[k : min(k + BLOCK_SHINGLES, ends[j - 1])] + b
+                least = np.minimum.reduceat(block, begin[i:j] - begin[i] if j > i + 1 else [0], axis=1)
+                np.minimum(out[i:j], least.T, out=out[i:j])
+            i = j
+        return out
+
+    def sign(texts: list[bytes | None]) -> list[list]:
+        hashes, offsets = shingle_hashes(*word_hashes(texts), tuning.size)
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+        order = np.lexsort((hashes, owner))
+        owner, hashes = owner[order], hashes[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+        owner, hashes = owner[new], hashes[new]
+        counts = np.bincount(owner, minlength=len(texts))
+        out: list[list] = [counts, *([None] * len(texts) for _ in range(4))]
+        some = np.flatnonzero(counts)
+        if not len(some):
+            return out
+        begin = np.cumsum(counts[some]) - counts[some]
+        keys = [np.add.reduceat(mix(hashes ^ x), begin).view(np.int64).tolist() for x in (np.uint64(0), other)]
+        for k, one, two in zip(some.tolist(), *keys):
+            out[1][k], out[2][k] = one, two
+        links = tuning.share[1] * counts >= tuning.share[0] * (counts + 1)
+        wide = np.flatnonzero(links & (counts > 0))
+        if not len(wide):
+            return out
+        x = (hashes[links[owner]] >> np.uint64(32)).astype(np.uint32)
+        least = samples_of(x, np.cumsum(counts[wide]) - counts[wide]).astype(np.uint64)
+        banded = mix((least.reshape(-1, bands, rows) * factors).sum(axis=2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+        spots = (mix(least ^ sample_keys) % np.uint64(tuning.bits)).astype(np.int64) + tuning.bits * np.arange(len(wide))[:, None]
+        bits = np.bincount(spots.ravel(), minlength=tuning.bits * len(wide)).reshape(len(wide), -1) & 1
+        for k, keys_, odd in zip(wide.tolist(), banded, np.packbits(bits.astype(np.uint8), axis=1)):
+            out[3][k], out[4][k] = keys_, odd.tobytes()
+        return out
+
+    return sign
+
+
+def repeated_paragraphs(docs: DataFrame, tuning: Tuning = PARAGRAPHS) -> DataFrame:
     """(doc_id, at, cluster_id, kept) of the paragraphs that are like others; at is the line's number."""
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     number = F.col("doc_id") * LINES + F.least(F.col("line"), F.lit(LINES - 1))
-    items = lines.filter(F.length("text") >= chars).select(number.alias("doc_id"), "text")
-    found = stage_table(near_duplicates(items, tuning).filter("grouped"), "paragraphs")
+    items = lines.filter(F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(number.alias("doc_id"), "text")
+    found = stage_table(near_duplicates(items, tuning, _line_signer).filter("grouped"), "paragraphs")
     document = F.shiftright("doc_id", LINES.bit_length() - 1)
     clusters = found.groupBy("component_id").agg(F.min(document).alias("lo"), F.max(document).alias("hi")).filter("lo <> hi")
     found = found.join(clusters, "component_id", "left_semi")
