@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import corpus_pipeline
 from tidemill.llm import paragraph_dedup
 
 from .conftest import prose
@@ -38,3 +39,14 @@ def test_line_signatures_of_equal_and_similar_sets():
     alone = [sign([x.encode()]) for x in lines]
     for i, x in enumerate(alone):
         assert (x[1][0], x[2][0], x[4][0]) == (k1[i], k2[i], odd[i]) and (bands[i] is None or list(x[3][0]) == list(bands[i]))
+
+
+def test_pipeline_drops_near_copies_from_a_similarity_of_80(make, spark):
+    texts = {k: prose(k, 90) for k in range(5)}
+    for first, n, changed in ((10, 100, (30, 70)), (20, 89, (30, 60))):
+        words = prose(first, n).split()
+        texts[first] = " ".join(words)
+        texts[first + 1] = " ".join("changed" if i in changed else w for i, w in enumerate(words))
+    likeness = [len(a & b) / len(a | b) for a, b in ((shingles(texts[i]), shingles(texts[i + 1])) for i in (10, 20))]
+    assert 0.8 < likeness[0] < 0.82 and 0.78 < likeness[1] < 0.8
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, make(texts), "").collect()} == set(texts) - {11}
