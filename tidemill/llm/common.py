@@ -7,6 +7,9 @@ ASCII white space.  Hashes are 64 bits, the same in every process.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,49 +27,89 @@ CHUNK_BYTES = 1 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts: by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
+    """Keep Arrow batches small enough for long texts: by rows and by bytes.
+
+    The session's limits are only ever lowered: they count when a result is read, so they can't be put back here.
+    """
+    for name, most in (("maxRecordsPerBatch", 10_000), ("maxBytesPerBatch", CHUNK_BYTES)):
+        digits, unit = re.match(r"(-?\d+)([kmg]?)", spark.conf.get(f"spark.sql.execution.arrow.{name}").lower()).groups()
+        if not 0 < int(digits) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 # ---- scratch tables
 
+#: Temporary folders of local sessions, by application.
+_local: dict[str, str] = {}
+#: Tables written and not deleted yet, in order.
+_staged: list[str] = []
+
 
 def _remove(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one where that is unset (local tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-        atexit.register(_remove, conf.removeprefix("file://"))
-    return conf
+    """The folder that all executors see: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    A local session without either gets a temporary one of its own; on a cluster that is an error, as executors
+    would write to disks of their own.
+    """
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared:
+        return shared
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="tidemill-")
+        atexit.register(_remove, _local[context.applicationId])
+    return f"file://{_local[context.applicationId]}"
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends at files every executor sees."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tidemill-scratch/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_tables(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of staged tables that nothing reads any more."""
     for table in tables:
-        for file in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            if "/tidemill-scratch/" in file:
-                path = spark._jvm.org.apache.hadoop.fs.Path(file)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            if "/tidemill-scratch/" in folder:
+                _delete(spark, folder)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of plans that nothing refers to any more: Spark's cleaner goes by collected objects."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+@contextlib.contextmanager
+def scratch_until_written(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what is staged within the block, which must have written its results elsewhere."""
+    before = len(_staged)
+    yield
+    for folder in _staged[before:]:
+        _delete(spark, folder)
+    del _staged[before:]
 
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete all staged tables of this application; call it when results have been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/tidemill-scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _staged:
+        _delete(spark, folder)
+    _staged.clear()
 
 
 # ---- Arrow batches
@@ -178,7 +221,8 @@ def map_texts(df: DataFrame, keep: list, fields: str, make: Callable, text: str
     """Run a vectorised function over whole texts and append its columns to the kept ones.
 
     ``make()`` is called once a task and returns ``f(texts) -> list of columns`` for ``fields`` (DDL);
-    texts are UTF-8 bytes or None, at most ``limit`` bytes a call unless one text is longer.
+    texts are UTF-8 bytes or None, at most ``limit`` bytes a call unless one text is longer.  A call gets what several
+    Arrow batches hold if the limit has room for them.
     """
     arrow_limits(df.sparkSession)
     source = df.select(*keep, F.col(text).cast("string").alias("_text"))
@@ -189,13 +233,28 @@ def map_texts(df: DataFrame, keep: list, fields: str, make: Callable, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
-        for batch in batches:
+
+        def called(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            batch = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             texts = utf8(batch.column(batch.num_columns - 1))
             for i, j in chunks(texts, limit):
                 kept = [batch.column(k).slice(i, j - i) for k in range(batch.num_columns - 1)]
                 new = [pa.array(c, t) for c, t in zip(function(texts[i:j]), types)]
                 yield pa.RecordBatch.from_arrays(kept + new, names=names)
 
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            n = batch.column(batch.num_columns - 1).nbytes
+            if held and size + n > limit:
+                yield from called(held)
+                held, size = [], 0
+            if batch.num_rows:
+                held.append(batch)
+                size += n
+        if held:
+            yield from called(held)
+
     return source.mapInArrow(run, schema)
 
 
