@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, langid, line_dedup, odd_minhash, packing, paragraph_dedup, pii_crf, scaled_sketch, secret_scan, toxicity
 
@@ -40,7 +41,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("grouped")
+    documents = table(spark, sf_dir, "documents")
+    return odd_minhash.near_duplicates(documents.withColumn("doc_id", F.col("doc_id").cast("long"))).drop("grouped")
 
 
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

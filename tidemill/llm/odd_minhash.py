@@ -5,22 +5,31 @@ sketches (parity bitmaps of the samples; the population count of a XOR estimates
 precisely) drop unlikely candidates, the full sets confirm the rest, and components of the confirmed
 links make the groups.
 
-Documents with equal sets form one class, of which one representative is compared.  In a band's
-bucket every member is first compared with the bucket's least document; then, in the buckets that
+Documents with equal sets form one class, of which the first one's text is compared.  In a band's
+bucket every member is first compared with the bucket's least class; then, in the buckets that
 still hold several components, members of different components are compared in blocks by their
 sketches.  So a bucket of many copies costs a comparison a member, yet no candidate pair that could
 change the components goes unexamined.
 
+A bucket of many unlike members (pages with one boilerplate) would need too many comparisons.  Beyond
+``MOST_COMPARISONS`` its members are joined exactly by their rare shingles instead: of sets alike enough one of the
+first n - ceil(share * n) + 1 shingles is common, in any order of all shingles; rare ones come first, so
+that pairs which share but boilerplate never meet.
+
+A link at the threshold is missed if no band names it or its sketches estimate less than ``Tuning.least``:
+together about 2 in 100,000 for documents, nearly all of it by the estimate.
+
 Defined results: null, empty and blank texts have no set and link with nothing; a text of fewer than
 five words has one shingle, its whole sequence; rows with a null doc_id aren't linked (component_id
-null, kept true); repeated rows are copies of one another and each is returned; an empty table gives
-an empty result; other columns are ignored (``near_duplicates``) or passed on (``keep_one``).
+null, kept true); repeated rows are copies of one another and each is returned; rows of one doc_id with other
+texts are each judged by their own text; very long texts are MinHashed in blocks and hold one set in memory; an
+empty table gives an empty result; other columns are ignored (``near_duplicates``) or passed on
+(``keep_one``, which returns one of rows that repeat both doc_id and text).
 """
 
 from __future__ import annotations
 
 import dataclasses
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, likely_in, map_texts, mix, salted_left_join, shingle_hashes, stage_table, word_hashes
+from .common import arrow_limits, drop_tables, likely_in, map_texts, mix, salted_left_join, shingle_hashes, stage_table, word_hashes
 from .components import connected_components
 
 
@@ -64,6 +73,15 @@ DOCUMENTS = Tuning()
 BLOCK = 512
 #: Shingles of the sets in a block that a task verifies against another: 2 MB.
 ROOM_SHINGLES = 250_000
+#: Comparisons within a bucket beyond which its members are joined by rare shingles.
+MOST_COMPARISONS = 1 << 25
+#: Tells the second half of a set's key from the first.
+_OTHER_HALF = np.uint64(0x5851F42D4C957F2D)
+
+
+def set_keys(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each set of distinct hashes, by where it begins: equal sets have equal ones, whatever their order."""
+    return [np.add.reduceat(mix(mix(hashes ^ x)), begin).view(np.int64) for x in (np.uint64(0), _OTHER_HALF)]
 
 
 def _signer(tuning: Tuning):
@@ -84,7 +102,7 @@ def _signer(tuning: Tuning):
                 for column in out[1:]:
                     column.append(None)
                 continue
-            key = np.frombuffer(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest(), np.int64)
+            key = [int(k[0]) for k in set_keys(distinct, np.zeros(1, np.int64))]
             x = (distinct >> np.uint64(32)).astype(np.uint32)
             least = np.full(samples, 0xFFFFFFFF, np.uint32)
             for k in range(0, len(x), 256):
@@ -94,7 +112,7 @@ def _signer(tuning: Tuning):
             wide = least.astype(np.uint64)
             banded = mix((wide.reshape(bands, rows) * factors).sum(axis=1) + np.arange(bands, dtype=np.uint64))
             bits = np.bincount((mix(wide ^ sample_keys) % np.uint64(tuning.bits)).astype(np.int64), minlength=tuning.bits) & 1
-            for column, value in zip(out[1:], (int(key[0]), int(key[1]), banded.view(np.int64), np.packbits(bits.astype(np.uint8)).tobytes())):
+            for column, value in zip(out[1:], (*key, banded.view(np.int64), np.packbits(bits.astype(np.uint8)).tobytes())):
                 column.append(value)
         return out
 
@@ -162,6 +180,26 @@ def _likely(pairs: DataFrame, reps: DataFrame, tuning: Tuning) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").select("a", "b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
 
 
+def _full_sets(named: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning) -> DataFrame:
+    """(rep, full) of the named classes: the sorted distinct shingle hashes, from the text of each one's first document."""
+    size = tuning.size
+
+    def make():
+        def full(texts: list[bytes | None]) -> list[list]:
+            hashes, offsets = shingle_hashes(*word_hashes(texts), size)
+            sets = [np.unique(hashes[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
+            keys = [[int(k[0]) for k in set_keys(s, np.zeros(1, np.int64))] if len(s) else [None, None] for s in sets]
+            return [[k[0] for k in keys], [k[1] for k in keys], [s.tobytes() for s in sets]]
+
+        return full
+
+    first = stage_table(reps.join(named.distinct(), "rep").select("rep", "first", "k1", "k2"), "named")
+    likely = likely_in(docs, "id", first, first.count(), "first")
+    sets = map_texts(likely, ["id"], "k1 long, k2 long, full binary", make)
+    # rows of one id may have several texts: the one that is meant has the class's key
+    return sets.join(first.withColumnRenamed("first", "id"), ["id", "k1", "k2"]).select("rep", "full")
+
+
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning) -> DataFrame:
     """The pairs whose full sets have share[1] * intersection >= share[0] * union.
 
@@ -170,27 +208,17 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning)
     is compared with, not for each pair, and a task's memory is bounded however large a room is.
     """
     arrow_limits(docs.sparkSession)
-    share, size = tuning.share, tuning.size
+    share = tuning.share
     room = connected_components(pairs).join(reps.select(F.col("rep").alias("vertex"), "n_shingles"), "vertex")
     blocks = room.groupBy("component").agg(F.ceil(F.sum("n_shingles") / ROOM_SHINGLES).cast("int").alias("blocks"))
     place = room.join(blocks, "component").select("vertex", F.col("component").alias("room"), F.pmod(F.xxhash64("vertex"), "blocks").cast("int").alias("block"))
     placed = pairs.join(place.select(F.col("vertex").alias("a"), "room", F.col("block").alias("i")), "a").join(place.select(F.col("vertex").alias("b"), F.col("block").alias("j")), "b")
     placed = placed.select("room", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "a", "b")
     placed = stage_table(placed, "pairs")
-    needed = placed.select("room", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def make():
-        def full(texts: list[bytes | None]) -> list[list]:
-            hashes, offsets = shingle_hashes(*word_hashes(texts), size)
-            return [[np.unique(hashes[i:j]).tobytes() for i, j in zip(offsets[:-1], offsets[1:])]]
-
-        return full
-
-    named = needed.select("doc_id").distinct()
-    named = likely_in(docs, "doc_id", named, named.count(), "doc_id")  # the join with needed is exact
-    sets = map_texts(named, ["doc_id"], "full binary", make).join(needed, "doc_id")
+    needed = placed.select("room", "i", "j", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    sets = _full_sets(needed.select("rep"), reps, docs, tuning).join(needed, "rep")
     none = F.lit(None)
-    rows = sets.select("room", "i", "j", F.col("doc_id").alias("a"), none.cast("long").alias("b"), "full")
+    rows = sets.select("room", "i", "j", F.col("rep").alias("a"), none.cast("long").alias("b"), "full")
     rows = rows.union(placed.select("room", "i", "j", "a", "b", none.cast("binary")))
 
     def verify(table: pa.Table) -> pa.Table:
@@ -213,18 +241,51 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning)
     return rows.groupBy("room", "i", "j").applyInArrow(verify, "a long, b long")
 
 
-def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, tuning: Tuning) -> DataFrame:
+def _by_rare_shingles(members: DataFrame, reps: DataFrame, docs: DataFrame, tuning: Tuning) -> DataFrame:
+    """(key, rep): buckets of the members such that any two sets alike enough share one, by the prefixes of the sets.
+
+    The order of shingles is by the number of members that have them, then by hash; those of one member alone
+    take their places in the prefix but make no bucket.
+    """
+    arrow_limits(docs.sparkSession)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, full in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = np.frombuffer(full, np.int64)
+                for k in range(0, len(h), 10_000):
+                    part = h[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rep)), pa.array(part)], names=["rep", "h"])
+
+    rows = stage_table(_full_sets(members, reps, docs, tuning).mapInArrow(explode, "rep long, h long"), "shingles")
+    counts = rows.groupBy("h").count().filter("count > 1")
+    ranked = rows.join(counts, "h", "left").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("c"), "h"))).alias("hs"))
+    n = F.size("hs")
+    needed = n - F.ceil(n * tuning.share[0] / tuning.share[1] - 1e-9).cast("int") + 1
+    prefix = F.filter(F.slice("hs", 1, needed), lambda x: x["c"] > 1)
+    return ranked.select("rep", F.explode(prefix).alias("x")).select(F.col("x.h").alias("key"), "rep")
+
+
+def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, tuning: Tuning, docs: DataFrame | None = None, most: int = MOST_COMPARISONS, smallest: int = 3) -> DataFrame:
     """Likely pairs of different components within buckets that hold several, compared in blocks.
 
     A bucket's members are those of its least component (most of them, as a rule) and the rest.  Blocks of the
     rest meet one another and all blocks of the others; members of one component never meet for nothing, so a
-    bucket of a million copies and one stranger costs a million comparisons.
+    bucket of a million copies and one stranger costs a million comparisons.  With ``docs``, members of buckets
+    that would need more than ``most`` are joined by their rare shingles.
     """
     member = shared.select("key", "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     member = member.select("key", "rep", F.coalesce("component", "rep").alias("component"))
     least = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
-    # buckets of two were compared in whole already
-    member = member.join(least.filter("n > 2 and lo <> hi"), "key").withColumn("rest", F.col("component") != F.col("lo"))
+    # band buckets of two were compared in whole already
+    member = member.join(least.filter((F.col("n") >= smallest) & (F.col("lo") != F.col("hi"))), "key").withColumn("rest", F.col("component") != F.col("lo"))
+    if docs is not None:
+        sizes = member.groupBy("key").agg(F.count_if("rest").alias("rests"), F.count("*").alias("n"))
+        hot = stage_table(sizes.filter(F.col("rests").cast("double") * F.col("n") > most).select("key"), "hot")
+        if not hot.isEmpty():
+            cool = _across(shared.join(hot, "key", "left_anti"), reps, found, tuning)
+            rare = stage_table(_by_rare_shingles(member.join(hot, "key", "left_semi").select("rep").distinct(), reps, docs, tuning), "rare")
+            return cool.union(_across(rare, reps, found, tuning, smallest=2)).distinct()
     blocks = member.groupBy("key").agg(*(F.ceil(F.greatest(F.count_if(F.col("rest") == r), F.lit(1)) / BLOCK).cast("int").alias(f"blocks_{r}") for r in (True, False)))
     rows = member.join(blocks.toDF("key", "rests", "others"), "key").join(reps.select("rep", "odd"), "rep")
     block = F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("others"))).cast("int")
@@ -253,38 +314,51 @@ def _across(shared: DataFrame, reps: DataFrame, found: DataFrame, tuning: Tuning
     return rows.groupBy("key", "among_rest", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS, signer: Callable = _signer) -> DataFrame:
+def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS, signer: Callable = _signer, most: int = MOST_COMPARISONS) -> DataFrame:
     """(doc_id, n_shingles, component_id, grouped, kept): groups of documents linked by similar shingle sets.
 
+    doc_id may be of any type that has an order, such as a struct; component_id is the least one of the group.
     signer: ``signer(tuning)`` gives the function of texts for ``map_texts``.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").alias("id"), "text")
     fields = "n_shingles long, k1 long, k2 long, bands array<long>, odd binary"
-    signed = stage_table(map_texts(docs, ["doc_id"], fields, lambda: signer(tuning)), "signed")
-    usable = signed.filter("n_shingles > 0 and doc_id is not null")
-    reps = usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
-    reps = stage_table(reps, "classes")
+    signed = stage_table(map_texts(docs, ["id"], fields, lambda: signer(tuning)), "signed")
+    usable = signed.filter("n_shingles > 0 and id is not null")
+    reps = usable.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
+    # a class's number is given once, when it is written
+    reps = stage_table(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
     shared = stage_table(_buckets(reps.select(F.explode("bands").alias("key"), "rep")), "buckets")
     pairs = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stage_table(_likely(pairs, reps, tuning), "likely")
     links = stage_table(_confirm(likely, reps, docs, tuning), "links")
     found = stage_table(connected_components(links), "components")
-    more = stage_table(_across(shared, reps, found, tuning).join(likely, ["a", "b"], "left_anti"), "across")
+    more = stage_table(_across(shared, reps, found, tuning, docs, most).join(likely, ["a", "b"], "left_anti"), "across")
     if not more.isEmpty():
         links = stage_table(links.union(_confirm(more, reps, docs, tuning)), "links")
         found = stage_table(connected_components(links), "components")
-    classes = reps.select("k1", "k2", "rep", "copies").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
-    classes = classes.filter("copies > 1 or component is not null").select("k1", "k2", F.coalesce("component", "rep").alias("class_component"))
-    out = salted_left_join(signed.select("doc_id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_component", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("class_component").isNotNull().alias("grouped"))
+    drop_tables(docs.sparkSession, shared, likely, more, links)
+    labels = found.join(reps.select(F.col("rep").alias("vertex"), "first"), "vertex").groupBy("component").agg(F.min("first").alias("label"))
+    found = found.join(labels, "component").select(F.col("vertex").alias("rep"), "label")
+    classes = reps.select("k1", "k2", "rep", "first", "copies").join(found, "rep", "left")
+    classes = classes.filter("copies > 1 or label is not null").select("k1", "k2", F.coalesce("label", "first").alias("class_component"))
+    out = salted_left_join(signed.select("id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("class_component", "id"))
+    out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("class_component").isNotNull().alias("grouped"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, tuning: Tuning = DOCUMENTS) -> DataFrame:
     """docs with one document of each group: the least doc_id.  All columns are passed on."""
-    gone = near_duplicates(docs, tuning).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    place = F.when(F.col("doc_id").isNotNull(), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t")))
+    gone = near_duplicates(docs.select(place.alias("doc_id"), "text"), tuning).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), place.alias("_place"))
+    kept = marked.join(gone, F.col("_place") == F.col("_gone"), "left_anti")
+    # of rows that repeat both id and text one stays; there are few, as a rule none
+    again = stage_table(docs.select(place.alias("_again")).dropna().groupBy("_again").count().filter("count > 1").select("_again"), "again")
+    if not again.isEmpty():
+        repeated = F.col("_place") == F.col("_again")
+        kept = kept.join(again, repeated, "left_anti").union(kept.join(again, repeated, "left_semi").dropDuplicates(["_place"]))
+    return kept.select("_row.*")
 
 
 SQL = r"""
