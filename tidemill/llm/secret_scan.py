@@ -5,7 +5,8 @@ identifiers (``access``) and long hexadecimal runs (``hex``).  Weak parts are co
 count only together:
 
 - ``identifier``: a value assigned to a name such as client_id, user or account;
-- ``key``: a run of 32 or more base64 characters with a digit and letters of both cases;
+- ``key``: a run of 32 or more base64 characters with a digit and letters of both cases, that changes between
+  lower case, upper case and digits at least once in five characters as random text does, and isn't part of a URL;
 - ``endpoint``: a URL with a host.
 
 A weak key is reported where an identifier part (``access`` or ``identifier``) lies in the same scope;
@@ -16,18 +17,23 @@ nearest part of each complementary role, it runs as two window sweeps over the p
 sees the last end before it and the first start after it of each role, so no pairs are made, however many
 parts a text has.
 
-Parts are found with split and extract: the pieces between the matches give the positions, in code points.
-Only part rows are shuffled, never texts.
+Parts are found with split and extract: running sums of the lengths of the matches and of what stands between
+them give the positions, in code points, in time in proportion to the text.  Only part rows are shuffled, never
+texts.
 
 Defined results: a null or empty text has no spans; repeated rows are each returned; a null doc_id is kept
-as it is; of overlapping weak parts and strong spans only the strong span is reported; an empty table gives
-an empty result; other columns are ignored.
+as it is; of overlapping weak parts and strong spans only the strong span is reported; of parts that begin at
+one place the kinds come in the order listed; very long texts have all their spans, sorted by one task for each
+text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 SCOPE_CHARS = 400
 
@@ -45,31 +51,51 @@ WEAK = (
 )
 
 
-def _spans(text: Column, kind: str, order: int, pattern: str, keep=None) -> Column:
-    """array<struct<s, o, kind, e>> of the matches of a pattern, found with extract and split."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.arrays_zip(F.transform(matches, F.length).alias("m"), F.transform(between, F.length).alias("b")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
-        lambda state, x: F.struct((state["at"] + x["b"] + F.coalesce(x["m"], F.lit(0))).alias("at"), F.concat(state["starts"], F.array(state["at"] + x["b"])).alias("starts")),
-        lambda state: state["starts"],
-    )
-    spans = F.zip_with(matches, F.slice(ends, 1, F.size(matches)), lambda m, s: F.struct(s.alias("s"), F.lit(order).alias("o"), F.lit(kind).alias("kind"), (s + F.length(m)).alias("e"), m.alias("m")))
-    if keep is not None:
-        spans = F.filter(spans, lambda x: keep(x["m"]))
-    spans = F.transform(spans, lambda x: F.struct(x["s"], x["o"], x["kind"], x["e"]))
-    # positions are worked out only for texts with a match
-    return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast("array<struct<s:int,o:int,kind:string,e:int>>"))
+#: What a key's classes are counted by: its runs of a class (capitals and the letters after them are one), and those that marks part.
+_TOKENS, _SEGMENTS = "[A-Z]+[a-z]*|[a-z]+|[0-9]+", "[A-Za-z0-9]+"
 
 
-def _parts(text: Column) -> Column:
-    assign, access, hex_ = BASE
-    value = lambda m: F.length(F.regexp_extract(m, assign[2], 2)) >= 6
-    mixed = lambda m: F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[a-z]")) & F.regexp_like(m, F.lit("[A-Z]"))
-    found = [_spans(text, *assign[:3], value), _spans(text, *access[:3]), _spans(text, *hex_[:3])]
-    found += [_spans(text, *WEAK[0]), _spans(text, *WEAK[1], mixed), _spans(text, *WEAK[2])]
-    return F.concat(*found)
+def _matches(text: Column, kind: str, order: int, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """array<struct<o, kind, i, b, m, keep>> of a pattern's matches: number, characters before it since the last one, its own."""
+    zipped = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("b"))
+    found = F.transform(
+        F.filter(zipped, lambda x: x["m"].isNotNull()),  # the last piece stands after all matches
+        lambda x, i: F.struct(F.lit(order).alias("o"), F.lit(kind).alias("kind"), i.alias("i"), F.length(x["b"]).alias("b"), F.length(x["m"]).alias("m"), keep(x["m"]).alias("keep")),
+    )
+    # the text is parted only where there is a match
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<o:int,kind:string,i:int,b:int,m:int,keep:boolean>>"))
+
+
+def _is_key(m: Column) -> Column:
+    count = lambda pattern: F.size(F.regexp_extract_all(m, F.lit(pattern), F.lit(0)))
+    has = lambda pattern: F.regexp_like(m, F.lit(pattern))
+    return has("[0-9]") & has("[a-z]") & has("[A-Z]") & (5 * (count(_TOKENS) - count(_SEGMENTS)) >= F.length(m))
+
+
+def _parts(rows: DataFrame, text: Column) -> DataFrame:
+    """(doc_id, r, s, o, kind, e): a row for each part, and one of nulls for a text without any; texts are parted by r."""
+    assign = BASE[0][2]
+    keep = {"assign": lambda m: F.length(F.regexp_extract(m, assign, 2)) >= 6, "key": _is_key}
+    found = F.concat(*(_matches(text, kind, order, pattern, keep.get(kind, lambda m: F.lit(True))) for kind, order, pattern, *_ in (*BASE, *WEAK)))
+    rows = rows.select("doc_id", F.monotonically_increasing_id().alias("r"), found.alias("ps"))
+    rows = rows.select("doc_id", "r", F.explode_outer("ps").alias("p")).select("doc_id", "r", "p.*")
+    ahead = Window.partitionBy("r", "o").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.repartition("r").withColumn("e", F.sum(F.col("b") + F.col("m")).over(ahead).cast("int"))
+    # a text keeps a row even if all its matches fail
+    part = F.when(F.col("keep"), F.struct((F.col("e") - F.col("m")).alias("s"), "o", "kind", "e"))
+    placed = placed.select("doc_id", "r", part.alias("p")).select("doc_id", "r", "p.*")
+    before, after = _sweeps()
+    url = F.col("kind") == "endpoint"
+    within = placed.withColumns({"url_end": F.max(F.when(url, F.col("e"))).over(before), "url_start": F.min(F.when(url, F.col("s"))).over(after)})
+    inside = (F.col("kind") == "key") & (F.coalesce(F.col("url_end") > F.col("s"), F.lit(False)) | F.coalesce(F.col("url_start") < F.col("e"), F.lit(False)))
+    part = F.when(~inside, F.struct("s", "o", "kind", "e"))
+    return within.select("doc_id", "r", part.alias("p")).select("doc_id", "r", "p.*")
+
+
+def _sweeps() -> tuple[WindowSpec, WindowSpec]:
+    """All parts of a text before a part, and all after it."""
+    text = Window.partitionBy("r")
+    return text.orderBy("s", "o").rowsBetween(Window.unboundedPreceding, -1), text.orderBy(F.desc("s"), F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _digest(spans: Column) -> Column:
@@ -79,11 +105,8 @@ def _digest(spans: Column) -> Column:
 def scan(docs: DataFrame, scope_chars: int = SCOPE_CHARS) -> DataFrame:
     """Per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", _parts(text).alias("parts"), F.monotonically_increasing_id().alias("r"))
-    rows = rows.select("doc_id", "r", F.explode_outer("parts").alias("p")).select("doc_id", "r", "p.*")
-    text_ = Window.partitionBy("r")
-    before = text_.orderBy("s", "o").rowsBetween(Window.unboundedPreceding, -1)
-    after = text_.orderBy(F.desc("s"), F.desc("o")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _parts(docs.select("doc_id", "text"), text)
+    before, after = _sweeps()
     strong = F.col("kind").isin("assign", "access", "hex")
     roles = {"id": F.col("kind").isin("access", "identifier"), "secret": F.col("kind").isin("assign", "hex", "key"), "strong": strong}
     swept = rows
@@ -122,16 +145,19 @@ def _sql_spans(kind: str, order: int, pattern: str, keep: str = "true") -> str:
 def sql(scope_chars: int = SCOPE_CHARS) -> str:
     """The same scan for DuckDB."""
     assign = BASE[0][2].replace("'", "''")
-    keeps = {"assign": f"length(regexp_extract(ms[k], '{assign}', 2)) >= 6", "key": "regexp_matches(ms[k], '[0-9]') and regexp_matches(ms[k], '[a-z]') and regexp_matches(ms[k], '[A-Z]')"}
+    keeps = {"assign": f"length(regexp_extract(ms[k], '{assign}', 2)) >= 6", "key": f"regexp_matches(ms[k], '[0-9]') and regexp_matches(ms[k], '[a-z]') and regexp_matches(ms[k], '[A-Z]') and 5 * (len(regexp_extract_all(ms[k], '{_TOKENS}')) - len(regexp_extract_all(ms[k], '{_SEGMENTS}'))) >= length(ms[k])"}
     spans = " union all ".join(_sql_spans(k, o, p, keeps.get(k, "true")) for k, o, p, *_ in (*BASE, *WEAK))
     near = " or ".join
     sides = {role: near((f"coalesce(s - {role}_end <= {scope_chars}, false)", f"coalesce({role}_start - e <= {scope_chars}, false)")) for role in ("id", "secret")}
     roles = {"id": "kind in ('access', 'identifier')", "secret": "kind in ('assign', 'hex', 'key')", "strong": "o < 3"}
     swept = ", ".join(f"max(e) filter ({w}) over before as {r}_end, min(s) filter ({w}) over after as {r}_start" for r, w in roles.items())
+    windows = "window before as (partition by r order by s, o rows between unbounded preceding and 1 preceding), after as (partition by r order by s desc, o desc rows between unbounded preceding and 1 preceding)"
     joined = lambda where: f"coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, o, e) filter ({where}), '')"
     return f"""with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents), found as ({spans}),
-    p as (select r, kind, o, s, s + length(m) as e from found),
-    w as (select *, {swept} from p window before as (partition by r order by s, o rows between unbounded preceding and 1 preceding), after as (partition by r order by s desc, o desc rows between unbounded preceding and 1 preceding)),
+    q as (select r, kind, o, s, s + length(m) as e from found),
+    u as (select *, max(e) filter (kind = 'endpoint') over before as url_end, min(s) filter (kind = 'endpoint') over after as url_start from q {windows}),
+    p as (select r, kind, o, s, e from u where not (kind = 'key' and (coalesce(url_end > s, false) or coalesce(url_start < e, false)))),
+    w as (select *, {swept} from p {windows}),
     x as (select *, o < 3 or (case kind when 'key' then {sides["id"]} when 'identifier' then {sides["secret"]} else ({sides["id"]}) and ({sides["secret"]}) end and not (coalesce(strong_end > s, false) or coalesce(strong_start < e, false))) as report from w)
     select doc_id, count(*) filter (kind = 'assign')::bigint as n_assign, count(*) filter (kind = 'access')::bigint as n_access, count(*) filter (kind = 'hex')::bigint as n_hex,
         sha256({joined("o < 3")}) as base_sha256, {joined("report")} as spans, count(*) filter (o >= 3 and report)::bigint as n_linked
