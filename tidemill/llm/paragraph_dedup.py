@@ -1,22 +1,30 @@
 """Substring dedup: paragraph MinHash banding, and repeated passages inside paragraphs.
 
 Paragraphs are the lines that aren't blank, however short.  Those with equal sets of 5-word shingles are one class
-(a line of fewer words has one shingle, all its words).  The sets are MinHashed, with bands tuned for recall
-(``PARAGRAPHS``: a pair at the threshold is missed once in 2,500); colliding paragraphs are verified by exact
-Jaccard similarity on the full sets, and the components of the links are the clusters.  A set so small that one
-more shingle takes it below the threshold can only equal another, so it needs no bands.
-
-A passage that documents share may lie within longer paragraphs that are unlike as wholes.  So the words of
-each text also have anchors, the words whose hash is least among their ``REACH`` neighbours either side, which
-depend on these words alone; the ``PASSAGE_WORDS`` words from each anchor are hashed, and equal windows name a
-repeated passage wherever it lies and however lines are broken.  Windows of one document that overlap, with
-the same earlier document, are one passage.  A passage of 51 words holds such an anchor in about 99 of 100 cases.
-
-Only what two documents or more share is reported: of each cluster the earliest occurrence (by doc_id, then
-place) is kept and those in other documents are to be removed.
-
-Defined results: null and empty texts have no paragraphs; rows with a null doc_id are left out; rows that
-repeat a document are one; an empty table gives an empty result; other columns are ignored.
+(a line of fewer words has one shingle, all its words).  The sets are MinHashed, with bands tuned for recall; colliding
+paragraphs are verified by exact Jaccard similarity on the full sets, and the components of the links are the clusters.
+A pair at the threshold is missed about once in 1,100: by the bands (``PARAGRAPHS``) 0.4 and by the sketches' estimate
+0.5 times in 1,000.  A set so small that one more shingle takes it below the threshold can only equal another, so it
+needs no bands.
+
+A passage that documents share may lie within longer paragraphs that are unlike as wholes.  So of the windows of
+``GRAM`` words of each text those are taken whose hash is the least among ``REACH`` windows in a row (winnowing): equal
+passages of ``GRAM + REACH - 1`` = 50 words or more hold one such window in common for certain, wherever they lie and
+however lines are broken.  A window that an earlier document has, or an earlier place of its text, is a seed; seeds with
+the same earlier document at the same distance that touch are one passage, which then grows word by word to both ends,
+as far as the words before and behind it are those of the earlier place (up to where another seed would be due).
+Shorter passages of ``GRAM`` words or more are found too where a seed happens to lie in them.  So every word of a passage
+of 50 words that an earlier place has is found, but for words at its ends in which only a later one of several earlier
+places agrees.
+
+Of what repeats, the earliest occurrence (by doc_id, then place) stays, and all others, within its document or in others,
+are to be removed: their rows have kept false.  Rows with kept true name the earliest occurrence, for paragraphs always,
+for passages where another document repeats it.
+
+Defined results: null and empty texts have no paragraphs; rows with a null doc_id are left out; rows that repeat
+doc_id and text are one document, rows of one doc_id with other texts are parts of it that are numbered alike; very
+long texts are parted into windows at once, with memory in proportion; ties of windows go to the first; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, mix, powers, shingle_hashes, stage_table, word_hashes
-from .odd_minhash import Tuning, near_duplicates
+from .common import drop_tables, likely_in, map_texts, mix, powers, salted_left_join, shingle_hashes, stage_table, word_hashes
+from .odd_minhash import Tuning, near_duplicates, set_keys
 
-PASSAGE_WORDS, REACH = 24, 4
+GRAM, REACH = 32, 19
 PARAGRAPHS = Tuning(share=(80, 100), bands=15, rows=4, bits=128)
-#: A paragraph's number is doc_id * LINES + line, so doc_ids must be below 2^43; longer texts have their further lines numbered as the last.
-LINES = 1 << 20
 #: Shingles whose samples are held at once.
 BLOCK_SHINGLES = 4096
 
@@ -47,7 +53,6 @@ def _line_signer(tuning: Tuning):
     b = rng.integers(0, 1 << 32, (samples, 1), dtype=np.uint32)
     factors = rng.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     sample_keys = mix(np.arange(samples, dtype=np.uint64))
-    other = rng.integers(0, 1 << 63, dtype=np.uint64)
 
     def samples_of(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """(line, sample) of the lines that begin at these places of x."""
@@ -77,8 +82,7 @@ def _line_signer(tuning: Tuning):
         if not len(some):
             return out
         begin = np.cumsum(counts[some]) - counts[some]
-        keys = [np.add.reduceat(mix(hashes ^ x), begin).view(np.int64).tolist() for x in (np.uint64(0), other)]
-        for k, one, two in zip(some.tolist(), *keys):
+        for k, one, two in zip(some.tolist(), *(x.tolist() for x in set_keys(hashes, begin))):
             out[1][k], out[2][k] = one, two
         links = tuning.share[1] * counts >= tuning.share[0] * (counts + 1)
         wide = np.flatnonzero(links & (counts > 0))
@@ -97,104 +101,213 @@ def _line_signer(tuning: Tuning):
 
 
 def repeated_paragraphs(docs: DataFrame, tuning: Tuning = PARAGRAPHS) -> DataFrame:
-    """(doc_id, at, cluster_id, kept) of the paragraphs that are like others; at is the line's number."""
-    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    number = F.col("doc_id") * LINES + F.least(F.col("line"), F.lit(LINES - 1))
-    items = lines.filter(F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(number.alias("doc_id"), "text")
-    found = stage_table(near_duplicates(items, tuning, _line_signer).filter("grouped"), "paragraphs")
-    document = F.shiftright("doc_id", LINES.bit_length() - 1)
-    clusters = found.groupBy("component_id").agg(F.min(document).alias("lo"), F.max(document).alias("hi")).filter("lo <> hi")
-    found = found.join(clusters, "component_id", "left_semi")
-    return found.select(document.alias("doc_id"), F.pmod("doc_id", F.lit(LINES)).alias("at"), F.col("component_id").alias("cluster_id"), "kept").distinct()
-
-
-def anchors(words: np.ndarray, offsets: np.ndarray, reach: int = REACH, length: int = PASSAGE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word number, hash of the window) of the anchors that ``length`` words follow in their text."""
-    n = len(words)
-    if n < length:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),)
-    three = np.full(n + 2 * reach + 2, np.iinfo(np.uint64).max)
-    three[reach : reach + n - 2] = mix(words[:-2] * np.uint64(3) + mix(words[1:-1] * np.uint64(5) + mix(words[2:])))
-    middle = three[reach : reach + n]
-    is_least = np.ones(n, bool)
-    for k in range(1, reach + 1):
-        is_least &= (middle < three[reach - k : reach - k + n]) & (middle <= three[reach + k : reach + k + n])
-    at = np.flatnonzero(is_least)
-    text = np.searchsorted(offsets, at, "right") - 1
-    fits = at + length <= offsets[text + 1]
-    at, text = at[fits], text[fits]
-    power, inverse = powers(n)
+    """(doc_id, at, cluster_id, first_doc_id, first_at, kept) of the paragraphs that are like others; at is the line's number."""
+    lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "text"))
+    place = F.struct("doc_id", F.col("at").cast("long").alias("at"))
+    items = lines.filter(F.col("text").rlike(r"[^\x09-\x0D\x20]")).select(place.alias("doc_id"), "text")
+    found = near_duplicates(items, tuning, _line_signer).filter("grouped")
+    found = found.select("doc_id.doc_id", "doc_id.at", F.xxhash64("component_id").alias("cluster_id"), F.col("component_id.doc_id").alias("first_doc_id"), F.col("component_id.at").alias("first_at"), "kept").distinct()
+    # a paragraph like itself alone is that of a row that repeats
+    return found
+
+
+def seeds(words: np.ndarray, offsets: np.ndarray, gram: int = GRAM, reach: int = REACH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, word number, hash) of the windows of ``gram`` words that have the least hash of ``reach`` in a row, by winnowing."""
+    n = len(words) - gram + 1
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    if n < 1:
+        return none
+    power, inverse = powers(len(words))
     total = np.concatenate(([np.uint64(0)], np.cumsum(words * power)))
-    return text, at - offsets[text], mix((total[at + length] - total[at]) * inverse[at])
-
+    hashes = mix((total[gram:] - total[:-gram]) * inverse[:n])
+    text = np.searchsorted(offsets, np.arange(n), "right") - 1
+    within = np.arange(n) + gram <= offsets[text + 1]  # other windows cross from one text to the next
+    at = np.flatnonzero(within)
+    if not len(at):
+        return none
+    hashes, text = hashes[at], text[at]
+    # the least of each row of windows, the first of equal ones; a text of fewer windows is one row
+    begin = np.searchsorted(text, text)
+    size = np.searchsorted(text, text, "right") - begin
+    place = np.arange(len(at))
+    starts = place[(place - begin) <= np.maximum(size - reach, 0)]
+    best = starts.copy()
+    end = begin[starts] + size[starts] - 1
+    for k in range(1, reach):
+        other = np.minimum(starts + k, end[: len(starts)])
+        best = np.where(hashes[other] < hashes[best], other, best)
+    chosen = np.unique(best)
+    return text[chosen], at[chosen] - offsets[text[chosen]], hashes[chosen]
+
+
+def _agreeing(words: np.ndarray, one: np.ndarray, other: np.ndarray, step: int, most: np.ndarray, reach: int) -> np.ndarray:
+    """How many words agree from two places on in one direction, at most ``most`` of each and ``reach``."""
+    k = np.arange(reach)
+    inside = k < most[:, None]
+    last = len(words) - 1
+    same = words[np.clip(one[:, None] + step * k, 0, last)] == words[np.clip(other[:, None] + step * k, 0, last)]
+    return np.logical_and.accumulate(same & inside, axis=1).sum(axis=1)
+
+
+def own_repeats(words: np.ndarray, offsets: np.ndarray, text: np.ndarray, at: np.ndarray, hashes: np.ndarray, gram: int, reach: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which seeds are the first of their text, and (text, at, n, first_at) of the passages that repeat words of their own text.
+
+    A seed is compared with the last equal one that it doesn't overlap, so words that go round and round are one passage.
+    """
+    order = np.lexsort((at, hashes, text))
+    t, a, h = text[order], at[order], hashes[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (h[1:] != h[:-1])
+    group = np.cumsum(new) - 1
+    spot = (group << 32) + a
+    source = np.searchsorted(spot, spot - gram, "right") - 1
+    again = np.flatnonzero((source >= 0) & (group[source] == group))
+    firsts = np.sort(order[new])
+    t, a, s = t[again], a[again], a[source[again]]
+    order = np.lexsort((a, a - s, t))
+    t, a, s = t[order], a[order], s[order]
+    joined = (t[1:] == t[:-1]) & (a[1:] - s[1:] == a[:-1] - s[:-1]) & (a[1:] <= a[:-1] + gram)
+    begin = np.flatnonzero(np.concatenate((np.ones(min(len(t), 1), bool), ~joined)))
+    end = np.append(begin[1:], len(t))[: len(begin)] - 1
+    t, n, a, s = t[begin], a[end] + gram - a[begin], a[begin], s[begin]
+    base = offsets[t]
+    behind = _agreeing(words, base + a + n, base + s + n, 1, offsets[t + 1] - base - a - n, reach - 1)
+    before = _agreeing(words, base + a - 1, base + s - 1, -1, s, reach - 1)
+    return firsts, (t, a - before, n + before + behind, s - before)
+
+
+def _windows(docs: DataFrame, gram: int, reach: int) -> DataFrame:
+    """(doc_id, t, w, own): the first seeds of each text by hash, and its passages that repeat words of its own."""
 
-def _windows(docs: DataFrame, reach: int, length: int) -> DataFrame:
     def make():
         def f(texts: list[bytes | None]) -> list[list]:
             words, offsets = word_hashes(texts)
-            text, at, hashes = anchors(words, offsets, reach, length)
-            cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-            return [[{"key": hashes[i:j].view(np.int64), "at": at[i:j]} for i, j in zip(cuts[:-1], cuts[1:])]]
+            text, at, hashes = seeds(words, offsets, gram, reach)
+            firsts, (own, *columns) = own_repeats(words, offsets, text, at, hashes, gram, reach)
+            text, at, hashes = text[firsts], at[firsts], hashes[firsts].view(np.int64)
+            cuts, own_cuts = (np.searchsorted(x, np.arange(len(texts) + 1)) for x in (text, own))
+            spans = list(zip(*(c.tolist() for c in columns)))
+            return [
+                [{"key": hashes[i:j], "at": at[i:j]} for i, j in zip(cuts[:-1], cuts[1:])],
+                [[{"at": a, "n": n, "first_at": s} for a, n, s in spans[i:j]] for i, j in zip(own_cuts[:-1], own_cuts[1:])],
+            ]
 
         return f
 
-    found = map_texts(docs.filter("doc_id is not null"), ["doc_id"], "w struct<key:array<long>,at:array<int>>", make)
-    return found.select("doc_id", F.explode(F.arrays_zip("w.key", "w.at")).alias("w")).select("w.key", "doc_id", "w.at")
+    return map_texts(docs, ["doc_id", "t"], "w struct<key:array<long>,at:array<int>>, own array<struct<at:int,n:int,first_at:int>>", make)
 
 
 def _repeats(windows: DataFrame) -> DataFrame:
-    """(key, doc_id, at, first_doc_id, kept) of windows in two documents or more, from sorted rows in one stream.
+    """(doc_id, t, at, first_doc_id, first_t, first_at) of windows that an earlier text has, from sorted rows in one stream.
 
-    The state is the bucket's first row and whether it was written, however many rows a bucket has.
+    The state is the bucket's first row, however many rows a bucket has.
     """
-    names = ["key", "doc_id", "at", "first_doc_id", "kept"]
+    names = ["doc_id", "t", "at", "first_doc_id", "first_t", "first_at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (None, 0, 0, False)  # key, first document and place, whether another document has come
+        held = None  # key, document, text and place of the bucket's first row
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, at = (batch.column(k).to_numpy() for k in range(3))
-            opens = np.concatenate(([held[0] is None or key[0] != held[0]], key[1:] != key[:-1]))
+            key, doc, t, at = columns = [batch.column(k).to_numpy() for k in range(4)]
+            opens = np.concatenate(([held is None or key[0] != held[0]], key[1:] != key[:-1]))
             begin = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
-            first_doc, first_at = (np.where(begin >= 0, x[begin], h) for x, h in ((doc, held[1]), (at, held[2])))
-            other = doc != first_doc
-            before = np.concatenate(([held[3]], other[:-1])) & ~opens
-            due = other & ~before  # now the first one is known to be shared
-            held = (key[-1], first_doc[-1], first_at[-1], bool(other[-1]))
-            columns = [(key, key), (first_doc, doc), (first_at, at), (first_doc, first_doc), (due, ~other)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((x[due], y[other]))) for x, y in columns], names=names)
+            first_doc, first_t, first_at = (np.where(begin >= 0, x[begin], h) for x, h in zip(columns[1:], (held or (0,) * 4)[1:]))
+            again = (doc != first_doc) | (t != first_t)
+            held = (key[-1], first_doc[-1], first_t[-1], first_at[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[again]) for x in (doc, t, at, first_doc, first_t, first_at)], names=names)
 
-    ordered = windows.repartition("key").sortWithinPartitions("key", "doc_id", "at")
-    return ordered.mapInArrow(run, "key long, doc_id long, at int, first_doc_id long, kept boolean")
+    ordered = windows.repartition("key").sortWithinPartitions("key", "doc_id", "t", "at")
+    return ordered.mapInArrow(run, "doc_id long, t int, at int, first_doc_id long, first_t int, first_at int")
 
 
-def repeated_passages(docs: DataFrame, reach: int = REACH, length: int = PASSAGE_WORDS) -> DataFrame:
-    """(doc_id, at, n_words, cluster_id, first_doc_id, kept) of verbatim passages that two documents or more share; at is a word's number."""
-    rows = _repeats(_windows(docs, reach, length).distinct())
-    schema = "doc_id long, at long, n_words long, cluster_id long, first_doc_id long, kept boolean"
+def _passages(repeats: DataFrame, gram: int) -> DataFrame:
+    """(doc_id, t, at, n, first_doc_id, first_t, first_at): seeds of a text on one diagonal that touch are one passage."""
+    schema = "doc_id long, t int, at int, n int, first_doc_id long, first_t int, first_at int"
 
     def merge(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("kept", "ascending"), ("at", "ascending")])
-        at, first, kept, key = (table.column(c).to_numpy() for c in ("at", "first_doc_id", "kept", "key"))
-        new = np.concatenate(([True], (at[1:] > at[:-1] + length) | (first[1:] != first[:-1]) | (kept[1:] != kept[:-1])))
-        begin = np.flatnonzero(new)
+        at, first, first_t, first_at = (table.column(c).to_numpy() for c in ("at", "first_doc_id", "first_t", "first_at"))
+        order = np.lexsort((at, at - first_at, first_t, first))
+        at, first, first_t, first_at = at[order], first[order], first_t[order], first_at[order]
+        same = (at[1:] <= at[:-1] + gram) & (np.diff(at - first_at) == 0) & (first[1:] == first[:-1]) & (first_t[1:] == first_t[:-1])
+        begin = np.flatnonzero(np.concatenate(([True], ~same)))
         end = np.append(begin[1:], len(at)) - 1
-        n = len(begin)
-        columns = [pa.array(np.full(n, table.column("doc_id")[0].as_py())), at[begin].astype(np.int64), (at[end] + length - at[begin]).astype(np.int64), key[begin], first[begin], kept[begin]]
-        return pa.table(dict(zip(("doc_id", "at", "n_words", "cluster_id", "first_doc_id", "kept"), columns)))
+        own = [np.full(len(begin), table.column(c)[0].as_py(), t) for c, t in (("doc_id", np.int64), ("t", np.int32))]
+        columns = [*own, at[begin], at[end] + gram - at[begin], first[begin], first_t[begin], first_at[begin]]
+        return pa.table(dict(zip(("doc_id", "t", "at", "n", "first_doc_id", "first_t", "first_at"), columns)))
+
+    return repeats.groupBy("doc_id", "t").applyInArrow(merge, schema)
+
+
+def _grown(passages: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
+    """passages with the words before and behind them that are those of the earlier place, at most reach - 1 either side.
+
+    Only texts that hold a passage or its first occurrence are read again.  What stands beside a place (32 bits of each
+    word's hash) is worked out once for each place of a text, so a text that many others repeat has no more rows than words.
+    """
+    sides = F.array(*(F.struct(F.lit(side).alias("side"), (F.col("at") + end).alias("at"), (F.col("first_at") + end).alias("first_at")) for side, end in ((False, F.lit(0)), (True, F.col("n")))))
+    ends = passages.select("p", "doc_id", "t", "first_doc_id", "first_t", F.explode(sides).alias("s")).select("p", "doc_id", "t", "first_doc_id", "first_t", "s.*")
+    places = ends.select("doc_id", "t", "at", "side").union(ends.select("first_doc_id", "first_t", "first_at", "side")).distinct()
+    asked = stage_table(places.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("at", "side"))).alias("places")), "places")
+    ids = asked.select(F.struct("doc_id", "t").alias("id"))
+    texts = likely_in(docs.withColumn("id", F.struct("doc_id", "t")), "id", ids, ids.count())
+    texts = texts.select("doc_id", "t", "text").join(asked, ["doc_id", "t"])
 
-    return rows.groupBy("doc_id").applyInArrow(merge, schema)
+    def make():
+        def f(texts: list[bytes | None]) -> list[list]:
+            words, offsets = word_hashes(texts)
+            words = words.astype(np.uint32).view(np.int32)
+            return [[words[i:j] for i, j in zip(offsets[:-1], offsets[1:])]]
+
+        return f
+
+    # the words nearest to the place come first
+    beside = lambda p: F.when(p["side"], F.slice("words", p["at"] + 1, F.lit(reach - 1))).otherwise(F.reverse(F.slice("words", F.greatest(p["at"] - reach + 2, F.lit(1)), F.least(p["at"], F.lit(reach - 1)))))
+    worded = map_texts(texts, ["doc_id", "t", "places"], "words array<int>", make)
+    known = worded.select("doc_id", "t", F.explode(F.transform("places", lambda p: F.struct(p["at"], p["side"], beside(p).alias("beside")))).alias("p"))
+    known = stage_table(known.select("doc_id", "t", "p.*").dropDuplicates(["doc_id", "t", "at", "side"]), "beside")
+    own = ends.join(known.withColumnRenamed("beside", "own"), ["doc_id", "t", "at", "side"])
+    first = known.toDF("first_doc_id", "first_t", "first_at", "side", "other")
+    both = salted_left_join(own, first, ["first_doc_id", "first_t", "first_at", "side"], "p")
+    agree = F.zip_with("own", "other", lambda a, b: F.coalesce(a == b, F.lit(False)))
+    # the first pair that differs; of none, all agree
+    differs = F.array_position(agree, F.lit(False)).cast("int")
+    more = F.when(differs > 0, differs - 1).otherwise(F.size(agree))
+    grown = both.select("p", "side", more.alias("more")).groupBy("p").agg(*(F.max(F.when(F.col("side") == side, F.col("more"))).alias(name) for side, name in ((False, "before"), (True, "behind"))))
+    out = passages.join(grown, "p")
+    return out.select("doc_id", "t", (F.col("at") - F.col("before")).alias("at"), (F.col("n") + F.col("before") + F.col("behind")).alias("n"), "first_doc_id", "first_t", (F.col("first_at") - F.col("before")).alias("first_at"))
+
+
+def repeated_passages(docs: DataFrame, gram: int = GRAM, reach: int = REACH) -> DataFrame:
+    """(doc_id, at, n_words, cluster_id, first_doc_id, first_at, kept) of verbatim passages that occurred before, and of their first occurrences in other documents.
+
+    at is a word's number; a passage and the first occurrence that it repeats have the same cluster_id.
+    """
+    docs = docs.filter("doc_id is not null").withColumn("t", F.hash("text"))
+    windows = stage_table(_windows(docs, gram, reach), "windows")
+    keys = windows.select("doc_id", "t", F.explode(F.arrays_zip("w.key", "w.at")).alias("w")).select("w.key", "doc_id", "t", "w.at")
+    passages = stage_table(_passages(_repeats(keys), gram).withColumn("p", F.monotonically_increasing_id()), "passages")
+    grown = _grown(passages, docs, reach)
+    own = windows.select("doc_id", "t", F.explode("own").alias("o")).select("doc_id", "t", "o.at", "o.n", F.col("doc_id").alias("first_doc_id"), F.col("t").alias("first_t"), "o.first_at")
+    grown = stage_table(grown.union(own), "grown")
+    drop_tables(docs.sparkSession, windows, passages)
+    cluster = F.xxhash64("first_doc_id", "first_t", "first_at", "n").alias("cluster_id")
+    n = F.col("n").cast("long").alias("n_words")
+    place = lambda c: F.col(c).cast("long")
+    again = grown.select("doc_id", place("at").alias("at"), n, cluster, "first_doc_id", place("first_at").alias("first_at"), F.lit(False).alias("kept"))
+    others = grown.filter("doc_id <> first_doc_id or t <> first_t")
+    first = others.select(F.col("first_doc_id").alias("doc_id"), place("first_at").alias("at"), n, cluster, "first_doc_id", place("first_at").alias("first_at"), F.lit(True).alias("kept"))
+    return again.union(first).distinct()
 
 
 def repeated_parts(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, at, n_words, cluster_id, first_doc_id, kept): one row for each paragraph or passage that repeats.
+    """(doc_id, kind, at, n_words, cluster_id, first_doc_id, first_at, kept): one row for each paragraph or passage that repeats.
 
     For kind ``paragraph`` at is the line's number and n_words is null; for ``passage`` at is a word's number.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     passages = repeated_passages(docs)
     paragraphs = repeated_paragraphs(docs)
-    first = F.shiftright("cluster_id", LINES.bit_length() - 1).alias("first_doc_id")
-    one = paragraphs.select("doc_id", F.lit("paragraph").alias("kind"), "at", F.lit(None).cast("long").alias("n_words"), "cluster_id", first, "kept")
-    return one.union(passages.select("doc_id", F.lit("passage").alias("kind"), "at", "n_words", "cluster_id", "first_doc_id", "kept"))
+    columns = ("cluster_id", "first_doc_id", "first_at", "kept")
+    one = paragraphs.select("doc_id", F.lit("paragraph").alias("kind"), "at", F.lit(None).cast("long").alias("n_words"), *columns)
+    return one.union(passages.select("doc_id", F.lit("passage").alias("kind"), "at", "n_words", *columns))
