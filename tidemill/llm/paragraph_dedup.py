@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, likely_in, map_texts, mix, powers, salted_left_join, shingle_hashes, stage_table, word_hashes
+from .common import drop_tables, likely_in, map_texts, mix, powers, release_shuffles, shingle_hashes, stage_table, word_hashes
 from .odd_minhash import Tuning, near_duplicates, set_keys
 
 GRAM, REACH = 32, 19
@@ -268,7 +268,8 @@ def _grown(passages: DataFrame, docs: DataFrame, reach: int) -> DataFrame:
     known = stage_table(known.select("doc_id", "t", "p.*").dropDuplicates(["doc_id", "t", "at", "side"]), "beside")
     own = ends.join(known.withColumnRenamed("beside", "own"), ["doc_id", "t", "at", "side"])
     first = known.toDF("first_doc_id", "first_t", "first_at", "side", "other")
-    both = salted_left_join(own, first, ["first_doc_id", "first_t", "first_at", "side"], "p")
+    # a place that a third of all passages repeats is a skewed key of this join: adaptive execution splits it
+    both = own.join(first, ["first_doc_id", "first_t", "first_at", "side"])
     agree = F.zip_with("own", "other", lambda a, b: F.coalesce(a == b, F.lit(False)))
     # the first pair that differs; of none, all agree
     differs = F.array_position(agree, F.lit(False)).cast("int")
@@ -291,6 +292,8 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, reach: int = REACH) ->
     own = windows.select("doc_id", "t", F.explode("own").alias("o")).select("doc_id", "t", "o.at", "o.n", F.col("doc_id").alias("first_doc_id"), F.col("t").alias("first_t"), "o.first_at")
     grown = stage_table(grown.union(own), "grown")
     drop_tables(docs.sparkSession, windows, passages)
+    del keys, windows, passages, own
+    release_shuffles(docs.sparkSession)
     cluster = F.xxhash64("first_doc_id", "first_t", "first_at", "n").alias("cluster_id")
     n = F.col("n").cast("long").alias("n_words")
     place = lambda c: F.col(c).cast("long")
