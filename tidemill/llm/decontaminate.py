@@ -1,9 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
-Each shard (some MB of documents) gets a suffix array over its words; every window of the test items
-is binary-searched in it, which gives all verbatim occurrences and, joined along diagonals, the
-longest matches and their places.  Only suffixes that can start a match are indexed: those whose next
-words all occur in the test set.  That is exact, and small when most training words don't.
+Each shard (``SHARD_BYTES`` of documents) gets a suffix array over its words.  Every suffix of the test items is
+binary-searched in it by its first ``window`` words: the range found holds all its matches of that length, and
+matches that follow one another along a diagonal are one longest match, with its places in item and document.
+Suffixes that begin alike are searched once, and those whose first two words never follow one another in the
+shard not at all.  Of the training text only suffixes that can start a match are indexed: those whose next words
+all occur in the test set.  That is exact, and small when most training words don't.
 
 The test set is the query set: it is compiled on the driver in blocks of ``block_words`` words, each
 broadcast to the tasks; a larger test set takes more passes, whose results are added to the rows.
@@ -13,8 +15,9 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 
 Defined results: a null or empty text has no words and no hits; a null item text, or one without
 words, is never found; items that repeat are each reported; a null item_id is ignored; repeated
-documents are each returned; an empty test set finds nothing; empty documents give an empty result;
-other columns never clash, as only doc_id and text are read (``remove_contaminated`` passes all on).
+documents are each returned; a null doc_id is kept as it is; of longest matches that tie the first in the
+document is named; a very long text is a shard of its own; an empty test set finds nothing; empty documents
+give an empty result; other columns never clash, as only doc_id and text are read (``remove_contaminated`` passes all on).
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, stage_table
@@ -140,10 +143,19 @@ def scan(block: TestBlock, texts: list[bytes | None]) -> tuple[list[int], list[n
         ids = np.concatenate(pieces)
         begins = np.cumsum([0, *(len(p) for p in pieces)])[:-1:2]
         order = suffix_array(ids, block.longest)
+        first = np.zeros(len(block.vocabulary) + 1, bool)
+        first[ids] = True
+        pair = lambda a, b: a.astype(np.int64) * len(first) + b
+        pairs = np.unique(pair(ids[:-1], ids[1:]))
         for length, rows, places in block.windows:
-            lo, hi = search(ids, order, rows)
-            for r in np.flatnonzero(lo < hi):
-                at = order[lo[r] : hi[r]]
+            likely = first[rows[:, 0]]
+            if length > 1:
+                likely &= np.isin(pair(rows[:, 0], rows[:, 1]), pairs)
+            likely = np.flatnonzero(likely)
+            lo, hi = search(ids, order, rows[likely])
+            for n in np.flatnonzero(lo < hi):
+                r = likely[n]
+                at = order[lo[n] : hi[n]]
                 piece = np.searchsorted(begins, at, "right") - 1
                 for p, position in zip(piece, at - begins[piece]):
                     t, position = owners[p], int(froms[p] + position)
@@ -166,7 +178,7 @@ def longest(found: list[tuple[int, int, int]], lengths: Callable[[int], int], wi
     return out
 
 
-_FIELDS = "n_words long, hits array<struct<a:int,b:int>>, items array<string>"
+_FIELDS = "n_words long, hits array<struct<a:int,b:int>>, items array<string>, best struct<n:long,at:long>"
 
 
 def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -175,36 +187,61 @@ def _ranges(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, keep: list, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The kept columns and n_words, hits (ranges of hit words), items (item_ids found, as strings, sorted)."""
+    """The kept columns and n_words, hits (ranges of hit words), items (item_ids found, as strings, sorted), best.
+
+    best: the words of the longest verbatim match and where it begins; null where there is none.
+    """
     spark = docs.sparkSession
     names = docs.select(*keep).columns
-    state = None
-    for block in blocks(items, window, block_words):
-        shared = spark.sparkContext.broadcast(block)
+    todo = blocks(items, window, block_words)
+    block, following = next(todo, None), next(todo, None)
+    if block is None:
 
-        def make(shared=shared):
-            block = shared.value
+        def count():
+            return lambda texts: [[len(words(t)) for t in texts], [[] for _ in texts], [[] for _ in texts], [None] * len(texts)]
 
-            def f(texts: list[bytes | None]) -> list[list]:
-                n_words, hit, found = scan(block, texts)
-                ids = [sorted({block.item_ids[i] for i, _, _ in x}) for x in found]
-                return [n_words, [[{"a": a, "b": b} for a, b in _ranges(h)] for h in hit], ids]
+        return map_texts(docs, keep, _FIELDS, count)
+    # the text is passed on only while there are blocks to come
+    text = [F.col("text").cast("string").alias("_t")] if following else []
+    state = map_texts(docs, [*keep, *text], _FIELDS, _finder(spark, block, window), limit=SHARD_BYTES)
+    while following:
+        state = stage_table(state, "passes")  # one pass ends before the next one's block is sent
+        before = [F.col(c).alias(f"_{c}") for c in ("hits", "items", "best")]
+        more = map_texts(state, [*names, "_t", *before], _FIELDS, _finder(spark, following, window), text="_t", limit=SHARD_BYTES)
+        following = next(todo, None)
+        better = F.col("_best").isNull() | (F.col("best.n") > F.col("_best.n")) | ((F.col("best.n") == F.col("_best.n")) & (F.col("best.at") < F.col("_best.at")))
+        best = F.when(F.col("best").isNotNull() & better, F.col("best")).otherwise(F.col("_best"))
+        text = ["_t"] if following else []
+        state = more.select(*names, *text, "n_words", F.concat("_hits", "hits").alias("hits"), F.array_sort(F.array_union("_items", "items")).alias("items"), best.alias("best"))
+    return state
 
-            return f
 
-        if state is None:
-            state = map_texts(docs, [*keep, F.col("text").cast("string").alias("_t")], _FIELDS, make, limit=SHARD_BYTES)
-            continue
-        state = stage_table(state, "passes")  # one pass ends before the next one's block is sent
-        more = map_texts(state, [*names, "_t", F.col("hits").alias("_hits"), F.col("items").alias("_items")], _FIELDS, make, text="_t", limit=SHARD_BYTES)
-        state = more.select(*names, "_t", "n_words", F.concat("_hits", "hits").alias("hits"), F.array_sort(F.array_union("_items", "items")).alias("items"))
-    if state is None:
+def _sizes(block: TestBlock) -> dict[int, int]:
+    """Words of each item."""
+    sizes: dict[int, int] = {}
+    for length, _, places in block.windows:
+        for row in places:
+            for i, k in row:
+                sizes[i] = max(sizes.get(i, 0), k + length)
+    return sizes
 
-        def count():
-            return lambda texts: [[len(words(t)) for t in texts], [[] for _ in texts], [[] for _ in texts]]
 
-        return map_texts(docs, keep, _FIELDS, count)
-    return state.drop("_t")
+def _finder(spark: SparkSession, block: TestBlock, window: int) -> Callable:
+    shared = spark.sparkContext.broadcast(block)
+
+    def make():
+        block = shared.value
+        sizes = _sizes(block)
+
+        def f(texts: list[bytes | None]) -> list[list]:
+            n_words, hit, found = scan(block, texts)
+            ids = [sorted({block.item_ids[i] for i, _, _ in x}) for x in found]
+            best = [max(((n, -p) for _, _, p, n in longest(x, sizes.__getitem__, window)), default=None) for x in found]
+            return [n_words, [[{"a": a, "b": b} for a, b in _ranges(h)] for h in hit], ids, [x and {"n": x[0], "at": -x[1]} for x in best]]
+
+        return f
+
+    return make
 
 
 def _covered(hits: str) -> F.Column:
@@ -219,7 +256,7 @@ def _covered(hits: str) -> F.Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_longest, longest_at, items, hits."""
     found = find_contamination(docs, items, [F.col("doc_id")], **options)
     n_hit = _covered("hits")
     return found.select(
@@ -229,6 +266,8 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
+        F.coalesce("best.n", F.lit(0).cast("long")).alias("n_longest"),
+        F.col("best.at").alias("longest_at"),
         "items",
         "hits",
     )
@@ -243,11 +282,7 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words
 
         def make(shared=shared):
             block = shared.value
-            sizes: dict[int, int] = {}
-            for length, _, places in block.windows:
-                for row in places:
-                    for i, k in row:
-                        sizes[i] = max(sizes.get(i, 0), k + length)
+            sizes = _sizes(block)
 
             def f(texts: list[bytes | None]) -> list[list]:
                 _, _, found = scan(block, texts)
@@ -271,11 +306,11 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFra
 
 SQL = r"""
 with recursive item as (
-    select item_id::varchar as item_id,
+    select row_number() over () as i, item_id::varchar as item_id,
         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
     from benchmark where text is not null and item_id is not null
 ), win as (
-    select distinct item_id, least(10, len(ws)) as n, array_to_string(ws[k:k + 9], ' ') as w
+    select distinct i, item_id, k as j, least(10, len(ws)) as n, array_to_string(ws[k:k + 9], ' ') as w
     from item, unnest(range(1, greatest(1, len(ws) - 9) + 1)) as u(k) where len(ws) > 0
 ), doc as (
     select doc_id, row_number() over () as r,
@@ -285,13 +320,18 @@ with recursive item as (
     select r, k, n, array_to_string(ws[k:k + n - 1], ' ') as w
     from doc, (select distinct n from win) l, unnest(range(1, len(ws) - n + 2)) as u(k) where len(ws) >= n
 ), found as (
-    select spot.r, spot.k, spot.n, win.item_id from spot join win on win.n = spot.n and win.w = spot.w
+    select spot.r, spot.k, spot.n, win.item_id, win.i, win.j from spot join win on win.n = spot.n and win.w = spot.w
 ), hit as (
-    select r, count(distinct j) as n_hit from found, unnest(range(k, k + n)) as u(j) group by r
+    select r, count(distinct u.at_word) as n_hit from found, unnest(range(k, k + n)) as u(at_word) group by r
+), run as (
+    select r, n, k, k - row_number() over (partition by r, i, k - j order by k) as g, i, k - j as d from found
+), longest as (
+    select r, max(words) as n_longest, min(begin_at) filter (words = most) as longest_at
+    from (select *, max(words) over (partition by r) as most from (select r, n + count(*) - 1 as words, min(k) - 1 as begin_at from run group by r, i, d, g, n)) group by r
 ), ids as (
     select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct r, item_id from found) group by r
 )
 select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-    sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from doc left join hit using (r) left join ids using (r)
+    sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_longest, 0)::bigint as n_longest, longest_at::bigint as longest_at
+from doc left join hit using (r) left join ids using (r) left join longest using (r)
 """
