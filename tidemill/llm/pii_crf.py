@@ -10,8 +10,10 @@ them "outside" scores more (``Field.certain``).  Given such words the chain fall
 between them are decoded; the result is that of Viterbi over the whole text.
 
 Defined results: a null text is empty; an empty text has no spans; added spans never overlap those of the
-patterns; repeated rows are each returned; an empty table gives an empty result; other columns are ignored.
-Positions are code points, ends exclusive.
+patterns; repeated rows are each returned; a null doc_id is kept as it is; very long texts take time and
+memory in proportion to their length, however many spans they have; bytes that aren't UTF-8 count as one
+replacement character each; ties of labellings go to the label listed first; an empty table gives an empty
+result; other columns are ignored.  Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -285,7 +287,7 @@ _TRIM = b".,;:!?\"'"
 
 
 def added_spans(text: bytes, tagger: Tagger) -> list[tuple[str, int, int]]:
-    """(kind, start, end) that the field labels; positions in code points."""
+    """(kind, start, end) that the field labels, in order of start; text is valid UTF-8, positions are code points."""
     labels = tagger.labels(text.translate(SHAPE).split())
     if not labels.any():
         return []
@@ -300,21 +302,34 @@ def added_spans(text: bytes, tagger: Tagger) -> list[tuple[str, int, int]]:
         else:
             spans.append((kind, begin, end))
         open_ = kind
+    # code points before each byte: all bytes but those that continue one
+    points = np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
     out = []
     for kind, a, b in spans:
         word = text[a:b]
         a, b = a + len(word) - len(word.lstrip(_TRIM)), b - (len(word) - len(word.rstrip(_TRIM)))
-        start = len(text[:a].decode("utf-8", "replace"))
-        out.append((kind, start, start + len(text[a:b].decode("utf-8", "replace"))))
+        out.append((kind, int(points[a]), int(points[b])))
+    return out
+
+
+def apart(spans: list[tuple[str, int, int]], taken: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of those taken, in one pass over both in order."""
+    out, ends, k = [], -1, 0
+    taken = sorted(taken)
+    for span in sorted(spans, key=lambda x: x[1:]):
+        while k < len(taken) and taken[k][0] < span[2]:
+            ends = max(ends, taken[k][1])
+            k += 1
+        if ends <= span[1]:
+            out.append(span)
     return out
 
 
 def find(text: bytes | None, tagger: Tagger) -> tuple[list[tuple[int, int, int]], list[tuple[str, int, int]]]:
     """The patterns' spans, and the field's that don't overlap them."""
-    text = text or b""
-    base = base_spans(text.decode("utf-8", "replace"))
-    more = added_spans(text, tagger)
-    return base, [(k, a, b) for k, a, b in more if not any(x < b and a < y for _, x, y in base)]
+    decoded = (text or b"").decode("utf-8", "replace")
+    base = base_spans(decoded)
+    return base, apart(added_spans(decoded.encode(), tagger), [(a, b) for _, a, b in base])
 
 
 def scan(docs: DataFrame) -> DataFrame:
