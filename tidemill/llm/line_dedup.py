@@ -17,8 +17,9 @@ the occurrences with salted keys, so a line that is a third of all lines loads n
 
 Defined results: a null text stays null, without lines; lines are parted by line feeds; blank lines
 are layout, never compared and never removed; rows that repeat a doc_id count as one place, so each
-keeps the line; a null doc_id comes last in order; an empty table gives an empty result; other columns
-are passed on whatever their names.
+keeps the line; null doc_ids come last in order, as one place; of lines that tie, the earliest place stays;
+a text's lines are removed in one pass, however many there are; an empty table gives an empty result; other
+columns are passed on whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +38,17 @@ PIECES = 16
 LAST = (1 << 63) - 1
 
 
+def _place(doc_id: str) -> F.Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST))
+
+
+def _text_key(text: str) -> F.Column:
+    """Tells apart the texts of one doc_id, so that what is removed from each is a group of its own."""
+    return F.hash(text)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o")
-    lines = docs.select(place, F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = docs.select(_place("doc_id").alias("o"), _text_key("text").alias("t"), F.posexplode(F.split("text", "\n")).alias("n", "line"))
     lines = lines.filter(F.length(F.trim("line")) > 0)
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(77), "line")})
 
@@ -177,7 +186,7 @@ def _near(docs: DataFrame, distinct: DataFrame, fuzzy_chars: int, pieces: int) -
 
 
 def repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS, pieces: int = PIECES) -> DataFrame:
-    """(o, gone): for each doc_id (the largest long for null) the sorted (line number, line hash) to remove."""
+    """(o, t, gone): for each doc_id (the largest long for null) and text the sorted (line number, line hash) to remove."""
     lines = _lines(docs)
     halves = F.when(F.length("line") >= fuzzy_chars, _halves("line"))
     distinct = lines.withColumn("halves", halves).groupBy("h1", "h2").agg(F.min(F.struct("o", "n")).alias("first"), F.count("*").alias("count"), F.first("halves").alias("halves"))
@@ -185,19 +194,23 @@ def repeated_lines(docs: DataFrame, fuzzy_chars: int = FUZZY_CHARS, pieces: int
     near = _near(docs, distinct, fuzzy_chars, pieces).withColumn("near", F.lit(True))
     decided = distinct.select("h1", "h2", "first", "count").join(near, ["h1", "h2"], "left").filter("count > 1 or near")
     decided = decided.select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    at = salted_left_join(lines.select("o", "n", "h1", "h2"), decided, ["h1", "h2"], "o")
+    at = salted_left_join(lines.select("o", "t", "n", "h1", "h2"), decided, ["h1", "h2"], "o")
     at = at.filter(F.col("first").isNotNull() & (F.col("near") | (F.struct("o", "n") != F.col("first"))))
-    return at.groupBy("o").agg(F.sort_array(F.collect_set(F.struct("n", "h1"))).alias("gone"))
+    return at.groupBy("o", "t").agg(F.sort_array(F.collect_set(F.struct("n", "h1"))).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """docs with the repeated lines removed from text; two columns follow the others: n_lines, n_removed (long)."""
     gone = repeated_lines(docs, **options)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    joined = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("o")).join(gone, "o", "left")
-    lines = F.split("row.text", "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("gone", F.struct(i.alias("n"), F.xxhash64(line).alias("h1"))))
-    joined = joined.select("row", F.size(lines).alias("lines"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
+    joined = docs.select(row, _place("doc_id").alias("o"), _text_key("text").alias("t")).join(gone, ["o", "t"], "left")
+    split = joined.select("row", "gone", F.split("row.text", "\n").alias("ls"))
+    # texts whose keys collide share a group: what isn't this text's line is passed over
+    own = split.select("row", "ls", F.filter("gone", lambda g: F.coalesce(F.xxhash64(F.get("ls", g["n"])) == g["h1"], F.lit(False))).alias("gone"))
+    lines = F.size("ls").alias("lines")
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.get("gone", k - 1)["n"] + 1)
+    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("ls", begin(k) + 1, F.coalesce(F.get("gone", k)["n"], F.size("ls")) - begin(k)))
+    joined = own.select("row", lines, F.when(F.size("gone") > 0, F.flatten(between)).alias("kept"))
     n = F.when(F.col("row.text").isNull(), 0).otherwise(F.col("lines"))
     text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
