@@ -181,7 +181,7 @@ def test_links_of_a_page(spark):
     pages = spark.createDataFrame([("http://p.example/", HTML), ("http://q.example/", "<meta name=robots content='noindex,nofollow'><a href=x>"), ("http://r.example/", None)], "url string, html string")
     got = {(r.dst, r.context, r.hop) for r in extract.html_links(pages).collect()}
     assert got == {
-        ("http://x.example", "a/@href", "L"), ("http://b.example/start/foo.gif", "img/@src", "E"), ("http://b.example/start/style.css", "link/@href", "E"),
+        ("http://x.example/", "a/@href", "L"), ("http://b.example/start/foo.gif", "img/@src", "E"), ("http://b.example/start/style.css", "link/@href", "E"),
         ("http://f.example/", "frame/@src", "E"), ("http://b.example/go?a=1&b=2", "form/@action", "L"),
     }
 

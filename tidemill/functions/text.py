@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import html as html_
+from urllib.parse import unquote_plus
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, StringType
 
 
 def mime(content_type: Column) -> Column:
@@ -69,6 +70,49 @@ def base32(data: pd.Series) -> pd.Series:
     return data.map(lambda b: base64.b32encode(b).decode().rstrip("="), na_action="ignore")
 
 
+@F.pandas_udf(BinaryType())
+def from_base32(text: pd.Series) -> pd.Series:
+    """Bytes of base 32, in either case and with or without padding; null where it is none."""
+
+    def one(t: str) -> bytes | None:
+        t = t.rstrip("=").upper()
+        try:
+            return base64.b32decode(t + "=" * (-len(t) % 8))
+        except ValueError:
+            return None
+
+    return text.map(one, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def decode_loosely(text: pd.Series) -> pd.Series:
+    """Percent escapes and plus signs decoded; escapes that are none stay as they are."""
+    return text.map(lambda t: unquote_plus(t, errors="replace"), na_action="ignore")
+
+
+def decimal(number: Column, most: int) -> Column:
+    """A number with at most so many fraction digits, without noughts at the end."""
+    fixed = F.format_string(f"%.{most}f", number.cast("double"))
+    return F.regexp_replace(fixed, r"\.?0+$", "") if most else fixed
+
+
+def long_bytes(number: Column) -> Column:
+    """Eight bytes of a long, the highest first."""
+    return F.unhex(F.lpad(F.hex(number.cast("long")), 16, "0"))
+
+
+def bytes_long(data: Column) -> Column:
+    return F.conv(F.hex(data), 16, -10).cast("long")
+
+
+def http_date(text: Column) -> Column:
+    """The time of a header such as Sun, 06 Nov 1994 08:49:37 GMT, in UTC; years from 2090 on are meant a century before."""
+    shape = r"^\s*(?:\w{3,9},\s*)?(\d{1,2})[ -](\w{3})[ -](\d{4})\s+(\d{2}:\d{2}:\d{2})"
+    part = [F.regexp_extract(text, shape, k) for k in range(5)]
+    year = F.regexp_replace(part[3], "^209", "199")
+    return F.try_to_timestamp(F.concat_ws(" ", F.lpad(part[1], 2, "0"), F.initcap(part[2]), year, part[4]), F.lit("dd MMM yyyy HH:mm:ss"))
+
+
 def digest(content: Column) -> Column:
     """``sha1:`` and the digest in base 32."""
     return F.concat(F.lit("sha1:"), base32(F.unhex(F.sha1(content))))

@@ -5,7 +5,7 @@ The sort key of ``http://user@www.example.com:80/a`` is ``http://(com,example,ww
 
 from __future__ import annotations
 
-from urllib.parse import quote, urljoin
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -80,12 +80,34 @@ def add_http(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"^[A-Za-z][\w+-]+:")), text).otherwise(F.concat(F.lit("http://"), text))
 
 
+#: Characters that a path or query keeps as they are; percent signs always stay.
+_PATH_SAFE, _QUERY_SAFE = r"A-Za-z0-9\-_.!~*'():@&=+$,;/|%", r"A-Za-z0-9\-_.!~*'():@&=+$,;/|%?{}\[\]^\\"
+
+
+def escape(text: Column, safe: str) -> Column:
+    """Other characters than the safe ones as percent signs and the hexadecimal digits of their bytes."""
+    bad = F.lit(f"[^{safe}]")
+    each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c == " ", "%20").when(F.regexp_like(c, bad), F.url_encode(c)).otherwise(c))
+    return F.when(F.regexp_like(text, bad), F.array_join(each, "")).otherwise(text)
+
+
+def without_dots(path_: Column) -> Column:
+    """A path without the segments . and .., each .. with the one before it; at the root .. goes alone."""
+    segments = F.split(F.regexp_replace(path_, r"(/\.{1,2})$", "$1/"), "/")
+    none = F.array().cast("array<string>")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+    out = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(segments, 2, F.size(segments)), none, step), "/"))
+    return F.when(F.regexp_like(path_, F.lit(r"/\.{1,2}(?:/|$)")), out).otherwise(path_)
+
+
 def normalise(uri: Column) -> Column:
-    """A tidy absolute URI, or null: trimmed, without breaks and fragment, slashes and default ports repaired.
+    """A tidy absolute URI, or null: trimmed, without breaks, fragment and dot segments, slashes and default ports repaired,
+    characters escaped that URIs may not hold.
 
-    Escaping of single characters and internationalised names are left to ``resolve``.
+    Null where the port is no number up to 65535, labels of the host are empty, or the whole is too long.
+    Internationalised names are left to ``resolve``.
     """
-    text = F.trim(F.translate(uri, " ", " "))
+    text = F.trim(F.translate(uri, "\u00a0", " "))
     text = F.regexp_replace(text, r"[\n\r\t]+", "")
     text = F.regexp_replace(text, "#.*$", "")
     before, after = F.regexp_extract(text, r"^([^?]*)", 1), F.regexp_extract(text, r"^[^?]*(\?.*)$", 1)
@@ -95,35 +117,40 @@ def normalise(uri: Column) -> Column:
     name = F.regexp_replace(name, ":0*(?=[0-9])", ":")
     name = F.when(scheme(text) == "http", F.regexp_replace(name, ":(80)?$", "")).when(scheme(text) == "https", F.regexp_replace(name, ":(443)?$", "")).otherwise(name)
     user = F.regexp_extract(authority(text), "^(.*@)", 1)
-    way = F.regexp_replace(path(text), r"^(?:/\.\.(?=/|$))+", "")
+    way = without_dots(path(text))
     way = F.when(way == "", F.lit("/")).otherwise(way)
-    whole = F.concat(scheme(text), F.lit("://"), user, name, way, after)
-    number = F.regexp_extract(name, r":(\d+)$", 1).try_cast("int")
-    valid = (scheme(text) != "") & (name != "") & (F.length(whole) <= MOST_CHARS) & F.coalesce(number <= 65535, F.lit(True))
-    return F.when(valid, F.regexp_replace(whole, " ", "%20"))
+    whole = F.concat(scheme(text), F.lit("://"), user, name, escape(way, _PATH_SAFE), escape(after, _QUERY_SAFE))
+    number = F.regexp_extract(name, r":(.*)$", 1)
+    valid = (scheme(text) != "") & (name != "") & ~name.contains("..") & (F.length(whole) <= MOST_CHARS)
+    valid &= (number == "") | (F.regexp_like(number, F.lit(r"^\d{1,9}$")) & F.coalesce(number.try_cast("int") <= 65535, F.lit(False)))
+    return F.when(valid, whole)
 
 
 @F.pandas_udf(StringType())
-def resolve(base: pd.Series, reference: pd.Series) -> pd.Series:
-    """References resolved against base URIs, with minimal escaping and ASCII host names; null where that fails."""
+def _joined(base: pd.Series, reference: pd.Series) -> pd.Series:
+    """References joined with base URIs, host names in ASCII; null where that fails."""
 
     def one(b: str | None, r: str | None) -> str | None:
         if r is None:
             return None
         try:
-            whole = urljoin(b or "", r.strip()).split("#", 1)[0]
+            whole = urljoin(b or "", r.strip())
             head, sep, rest = whole.partition("://")
             name, slash, tail = rest.partition("/")
             if not name.isascii():
                 name = name.encode("idna").decode()
-            out = head.lower() + sep + name + slash + quote(tail, safe="%/:=&?~#+!$,;'@()*[]|^{}\\`\"")
-            return out if len(out) <= MOST_CHARS else None
+            return head + sep + name + slash + tail
         except (ValueError, UnicodeError):
             return None
 
     return pd.Series([one(b, r) for b, r in zip(base, reference)], dtype=object)
 
 
+def resolve(base: str | Column, reference: str | Column) -> Column:
+    """References resolved against base URIs and normalised; null where that fails or gives no absolute URI of a host."""
+    return normalise(_joined(base, reference))
+
+
 # ---- sort-friendly keys
 
 
@@ -180,6 +207,34 @@ def assigned_domain(uri: Column, suffixes: tuple[str, ...] = _COMMON_SUFFIXES) -
     return F.when(is_quad(name), name).otherwise(found)
 
 
+def is_tld(label: Column, known: tuple[str, ...] = ("ac", "ad", "ae", "af", "ag", "ai", "al", "am", "ar", "at", "au", "be", "bg", "biz", "br", "ca", "ch", "cl", "cn", "co", "com", "cz", "de", "dk", "edu", "ee", "es", "eu", "example", "fi", "fr", "gov", "gr", "hk", "hr", "hu", "id", "ie", "il", "in", "info", "int", "io", "ir", "is", "it", "jp", "kr", "lt", "lu", "lv", "me", "mil", "mx", "my", "name", "net", "nl", "no", "nz", "org", "pl", "pt", "ro", "rs", "ru", "se", "sg", "si", "sk", "th", "tr", "tv", "tw", "ua", "uk", "us", "uy", "vn", "za")) -> Column:
+    """Whether a label is one of the top-level domains known."""
+    return F.lower(label).isin(*known)
+
+
+def policy_basis(uri: Column, via: Column, hops: Column) -> Column:
+    """The URI whose policies count: a prerequisite's are those of the page that needs it."""
+    return F.when(F.coalesce(hops.endswith("P"), F.lit(False)), F.coalesce(via, uri)).otherwise(uri)
+
+
+def java_hash(text: Column) -> Column:
+    """The 32-bit polynomial hash by 31 of a string of the basic plane, as a long."""
+    codes = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+
+
+def ip_class_key(host_: Column, ip: Column) -> Column:
+    """The queue by address; by host name where no address is known."""
+    return F.coalesce(ip, host_)
+
+
+def bucket_class_key(host_: Column, ip: Column, queues: int = 1021, mask: int = 1023) -> Column:
+    """One of a fixed number of queues by the address, of others by the host where no address is known."""
+    number = lambda x: F.abs(java_hash(x))
+    return F.when(host_.isNull(), "NO-HOST").when(ip.isNull(), F.concat(F.lit("NO-IP-"), number(host_).bitwiseAND(F.lit(mask)).cast("string"))).otherwise((number(ip) % queues).cast("string"))
+
+
 def path_bucket(uri: Column, parallel: int) -> Column:
     """Number of a parallel sub-queue by the first path segment."""
     return F.pmod(F.xxhash64(F.regexp_extract(path(uri), "^/([^/]*)", 1)), F.lit(parallel)).cast("int")

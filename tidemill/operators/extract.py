@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import uris
 from tidemill.functions.hops import is_redirect
+from tidemill.functions.text import unescape_html
 
 MOST_LINKS = 6000
 _TAG = r"(?is)<([a-z][a-z0-9]{0,63})((?:\s[^<>]{0,16384})?)/?>"
@@ -19,23 +20,30 @@ _EMBEDS = ("src", "lowsrc", "background", "cite", "longdesc", "usemap", "profile
 
 
 def tags(html: Column) -> Column:
-    """array<struct<element, attributes>>: every opening tag outside comments."""
+    """array<struct<element, attributes>>: every opening tag outside comments, scripts and styles."""
     clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    clean = F.regexp_replace(clean, r"(?is)(<(script|style)\b[^>]*>).*?</\2\s*>", "$1")
     whole = F.regexp_extract_all(clean, F.lit(_TAG), F.lit(0))
     return F.transform(whole, lambda t: F.struct(F.lower(F.regexp_extract(t, _TAG, 1)).alias("element"), F.regexp_extract(t, _TAG, 2).alias("attributes")))
 
 
 def _value(text: Column) -> Column:
-    return F.replace(F.trim(F.regexp_replace(text, r"""^["']|["']$""", "")), F.lit("&amp;"), F.lit("&"))
+    return F.trim(F.regexp_replace(text, r"""^["']|["']$""", ""))
+
+
+def _sends(attributes: Column) -> Column:
+    """Whether a form's method is another one than get."""
+    method = F.lower(F.regexp_extract(attributes, r"""(?is)\bmethod\s*=\s*["']?\s*([a-z]*)""", 1))
+    return ~method.isin("", "get")
 
 
 def references(html: Column) -> Column:
-    """array<struct<element, attribute, value>>: the attributes of all tags that may hold a reference."""
+    """array<struct<element, attribute, value>>: the attributes of all tags that may hold a reference; no forms that post."""
     return F.flatten(
         F.transform(
             tags(html),
             lambda t: F.transform(
-                F.regexp_extract_all(t["attributes"], F.lit(_ATTRIBUTE), F.lit(0)),
+                F.filter(F.regexp_extract_all(t["attributes"], F.lit(_ATTRIBUTE), F.lit(0)), lambda a: ~(F.regexp_like(a, F.lit("(?i)^action")) & _sends(t["attributes"]))),
                 lambda a: F.struct(t["element"].alias("element"), F.lower(F.regexp_extract(a, _ATTRIBUTE, 1)).alias("attribute"), _value(F.regexp_extract(a, _ATTRIBUTE, 2)).alias("value")),
             ),
         )
@@ -48,20 +56,76 @@ def hop_of(element: Column, attribute: Column, frames_embed: bool = True) -> Col
     return F.when(attribute == "href", F.when(element == "link", "E").when(element != "base", "L")).when(attribute == "action", "L").when(attribute.isin(*_EMBEDS), F.when(element.isin("frame", "iframe"), frame).otherwise("E"))
 
 
-def html_links(pages: DataFrame, url: str = "url", html: str = "html", resolve: bool = True, most: int = MOST_LINKS, frames_embed: bool = True) -> DataFrame:
-    """Distinct links of pages; forms that post aren't followed, nor pages whose robots element says nofollow."""
+#: What no link is made of.
+_NO_LINK = r"(?i)^(?:#|$|(?:javascript|mailto|data|tel):)"
+
+
+def html_links(pages: DataFrame, url: str = "url", html: str = "html", resolve: bool = True, most: int = MOST_LINKS, frames_embed: bool = True, inline: bool = True) -> DataFrame:
+    """Distinct links of pages; forms that post aren't followed, nor pages whose robots element says nofollow.
+
+    ``most`` counts references that make a link.  ``inline`` adds what scripts, styles and handlers within the page
+    name (``inline_links``).
+    """
     text = F.col(html)
     nofollow = F.regexp_like(text, F.lit(r"""(?is)<meta\s(?=[^>]*name\s*=\s*["']?robots)[^>]*content\s*=\s*["'][^"']*(?:nofollow|none)"""))
-    found = references(text)
-    base = F.regexp_extract(text, r"""(?is)<base\s[^>]*href\s*=\s*["']?([^"'\s>]+)""", 1)
-    source = pages.filter(~F.coalesce(nofollow, F.lit(False))).select(F.col(url).alias("src"), F.coalesce(F.nullif(base, F.lit("")), F.col(url)).alias("_base"), F.explode(F.slice(found, 1, most)).alias("r"))
-    links = source.select("src", "_base", F.col("r.value").alias("dst"), F.concat_ws("/@", "r.element", "r.attribute").alias("context"), hop_of(F.col("r.element"), F.col("r.attribute"), frames_embed).alias("hop"))
-    links = links.filter("hop is not null and dst <> '' and dst not like '#%'").filter(~F.regexp_like("dst", F.lit(r"(?i)^(?:javascript|mailto|data|tel):")))
+    read = pages.filter(~F.coalesce(nofollow, F.lit(False))).select(F.col(url).alias("src"), text.alias("_html"), references(text).alias("_found"))
+    base = F.get(F.filter("_found", lambda r: (r["element"] == "base") & (r["attribute"] == "href")), F.lit(0))["value"]
+    linking = F.filter("_found", lambda r: hop_of(r["element"], r["attribute"], frames_embed).isNotNull() & ~F.regexp_like(r["value"], F.lit(_NO_LINK)))
+    marked = F.transform(F.slice(linking, 1, most), lambda r: F.struct(r["value"].alias("dst"), F.concat_ws("/@", r["element"], r["attribute"]).alias("context"), hop_of(r["element"], r["attribute"], frames_embed).alias("hop")))
+    if inline:
+        marked = F.concat(marked, F.slice(inline_links(F.col("_html")), 1, most))
+    links = read.select("src", F.coalesce(F.nullif(base, F.lit("")), F.col("src")).alias("_base"), F.explode(marked).alias("r")).select("src", "_base", "r.*")
+    links = links.withColumn("dst", unescape_html("dst")).filter(~F.regexp_like("dst", F.lit(_NO_LINK)))
     if resolve:
         links = links.withColumn("dst", uris.resolve("_base", "dst")).filter("dst is not null")
     return links.drop("_base").distinct()
 
 
+def inline_links(html: Column) -> Column:
+    """array<struct<dst, context, hop>> of what stands within a page: scripts, styles, handlers, sources by width, refreshes.
+
+    Likely references in strings of scripts, in on... handlers, javascript: addresses, value attributes and flashvars
+    are speculative (X), those of style sheets and attributes and of srcset are parts of the page (E).
+    """
+    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    bodies = lambda element: F.regexp_extract_all(clean, F.lit(rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>"), F.lit(1))
+    quoted = r"""\s*=\s*("[^"]{0,16384}"|'[^']{0,16384}')"""
+    attributes = lambda names: F.transform(F.flatten(F.transform(tags(html), lambda t: F.regexp_extract_all(t["attributes"], F.lit(rf"(?is)\b(?:{names}){quoted}"), F.lit(1)))), lambda v: F.regexp_replace(v, """^["']|["']$""", ""))
+    all_of = lambda texts, find: F.flatten(F.transform(texts, find))
+    link = lambda found, context, hop: F.transform(F.filter(found, lambda u: u != ""), lambda u: F.struct(u.alias("dst"), F.lit(context).alias("context"), F.lit(hop).alias("hop")))
+    handlers = F.transform(attributes("on[a-z]{3,20}"), lambda v: F.concat(v, F.lit(";")))
+    called = F.transform(F.filter(attributes("href|src|action"), lambda v: F.regexp_like(v, F.lit("(?i)^\\s*javascript:"))), lambda v: v)
+    sizes = F.flatten(F.transform(attributes("srcset"), lambda v: F.transform(F.split(v, r",\s+|,(?=\s*https?:)"), lambda p: F.regexp_extract(F.trim(p), r"^(\S+)", 1))))
+    values = F.filter(attributes("value"), likely_uri)
+    flash = F.filter(F.flatten(F.transform(attributes("flashvars"), lambda v: F.transform(F.split(v, "&(?:amp;)?"), lambda p: F.coalesce(F.try_url_decode(F.regexp_replace(p, "^[^=]*=", "")), F.lit(""))))), likely_uri)
+    refresh = F.filter(F.array(F.coalesce(refresh_target(clean), F.lit(""))), lambda u: u != "")
+    return F.concat(
+        link(all_of(bodies("script"), script_links), "script", "X"), link(all_of(handlers, script_links), "handler", "X"), link(all_of(called, script_links), "javascript:", "X"),
+        link(all_of(bodies("style"), css_links), "style", "E"), link(all_of(attributes("style"), css_links), "@style", "E"), link(sizes, "@srcset", "E"),
+        link(values, "@value", "X"), link(flash, "@flashvars", "X"), link(refresh, "meta/@refresh", "R"),
+    )
+
+
+def applies(extractor: str, status: Column, mime: Column, uri: Column, length: Column, done: Column | None = None, missing_pages: bool = False, again: bool = False) -> Column:
+    """Whether an extractor reads a fetch: by its media type or ending, with content, no error page, not extracted yet."""
+    types, endings = _READS[extractor]
+    kind = F.regexp_like(F.coalesce(mime, F.lit("")), F.lit(types)) | F.regexp_like(uri, F.lit(rf"(?i)\.(?:{endings})$"))
+    out = kind & F.coalesce(length > 0, F.lit(False)) & (F.lit(missing_pages) | ~F.coalesce(status == 404, F.lit(False)))
+    return out if again or done is None else out & ~F.coalesce(done, F.lit(False))
+
+
+#: Media types and endings that each extractor reads.
+_READS = {
+    "html": (r"(?i)^(?:text/html|application/xhtml|text/vnd\.wap\.wml|application/vnd\.wap\.(?:wml|xhtml))", "html?|xhtml|shtml"),
+    "css": (r"(?i)^text/css", "css"),
+    "script": (r"(?i)javascript|jscript|ecmascript", "js"),
+    "xml": (r"(?i)^(?:text|application)/(?:[a-z.+-]*\+)?xml", "xml|rss|atom"),
+    "pdf": (r"(?i)^application/pdf", "pdf"),
+    "word": (r"(?i)^application/(?:ms)?word", "doc"),
+    "flash": (r"(?i)^application/x-shockwave-flash", "swf"),
+}
+
+
 def css_links(css: Column) -> Column:
     """References of a style sheet: url(...) and @import, without quotes and backslashes."""
     shape = r"""(?i)(?:@import\s+(?:url\(\s*)?|url\(\s*)["']?([^"'()\s;]{1,2083})"""

@@ -121,3 +121,25 @@ def snapshots(events: DataFrame, ts: str, seconds: int, counters: dict[str, Colu
     for k in counters:
         out |= {f"total_{k}": F.sum(k).over(so_far), f"rate_{k}": F.col(k) / float(seconds), f"recent_{k}": F.avg(k).over(last), f"stalled_{k}": F.coalesce(F.lag(k).over(order) == F.col(k), F.lit(False))}
     return each.withColumns(out)
+
+
+def with_next(rows: DataFrame, order: list[str], column: str, name: str) -> DataFrame:
+    """rows with a column of the next row in a crawl-wide order; null for the last one.
+
+    Rows are parted into ranges of the first column of the order and each range takes its last row's value from the
+    first row of the next one that has any, so no task sorts more than a range.
+    """
+    first = order[0]
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    number = F.unix_micros(F.col(first).cast("timestamp")) if rows.schema[first].dataType.typeName().startswith("timestamp") else F.col(first)
+    marks = rows.select(F.percentile_approx(number, [k / parts for k in range(1, parts)]).alias("m")).first()[0] or []
+    cuts = F.array(*map(F.lit, sorted(set(marks)))).cast("array<long>")
+    ranged = rows.withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda c: c < number)), F.lit(0)))
+    within = Window.partitionBy("_range").orderBy(*order)
+    begins = ranged.groupBy("_range").agg(F.min_by(column, F.struct(*order)).alias("_v"))  # a row a range
+    after = begins.select((F.dense_rank().over(Window.orderBy("_range")) - 1).alias("_k"), F.col("_v").alias("_next"))
+    here = begins.select("_range", F.dense_rank().over(Window.orderBy("_range")).alias("_k"))
+    following = F.broadcast(here.join(after, "_k", "left").select("_range", "_next"))
+    last = F.lead(F.lit(True)).over(within).isNull()
+    out = ranged.withColumns({name: F.lead(column).over(within), "_last": last}).join(following, "_range")
+    return out.select(*rows.columns, F.when(F.col("_last"), F.col("_next")).otherwise(F.col(name)).alias(name))

@@ -13,7 +13,12 @@ FOREIGN = -5002
 def by_hash(uri: Column, crawlers: int, reduce: bool = True) -> Column:
     """Number of the crawler, by the registered domain (so that one crawler has all its hosts) or the queue."""
     key = uris.assigned_domain(uri) if reduce else uris.class_key(uri)
-    return F.pmod(F.xxhash64(key), F.lit(crawlers)).cast("int")
+    return F.pmod(spot(key), F.lit(crawlers)).cast("int")
+
+
+def spot(key: str | Column) -> Column:
+    """A number of 32 bits that any other engine can work out too."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
 def ring(names: list[str], replicas: int = 128) -> list[tuple[int, str]]:
@@ -34,10 +39,9 @@ def by_ring(rows: DataFrame, key: str, names: list[str], replicas: int = 128) ->
             low = at + 1
     arcs.append((low, (1 << 32) - 1, points[0][1]))
     table = rows.sparkSession.createDataFrame(arcs, "low long, high long, crawler string")
-    spot = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
     from .joins import range_lookup
 
-    return range_lookup(rows.withColumn("_spot", spot), "_spot", table, bucket=1 << 24).select(*rows.columns, "crawler")
+    return range_lookup(rows.withColumn("_spot", spot(key)), "_spot", table, bucket=1 << 24).select(*rows.columns, "crawler")
 
 
 def divert(rows: DataFrame, crawler: Column, local: object) -> tuple[DataFrame, DataFrame]:

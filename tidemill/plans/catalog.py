@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_more, catalog_parts, catalog_stats, catalog_uris  # noqa: F401
+from . import catalog_more, catalog_parts, catalog_policies, catalog_stats, catalog_uris  # noqa: F401
 from .base import ORACLES, QUERIES, Query
 
 

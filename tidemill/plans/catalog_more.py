@@ -256,6 +256,6 @@ def busy_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.filter("n > 500").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "n")
 
 
-@query("select page_id, case when length(html) < 1024 then length(html) || ' B' when length(html) < 10240 then printf('%.1f KiB', length(html) / 1024.0) else printf('%.0f KiB', length(html) / 1024.0) end as size from pages where length(html) < 1048576")
+@query("select page_id, case when length(html) < 1024 then length(html) || ' B' when length(html) < 10240 then printf('%.1f KiB', length(html) / 1024.0) when length(html) < 1048576 then printf('%.0f KiB', length(html) / 1024.0) when length(html) < 10485760 then printf('%.1f MiB', length(html) / 1048576.0) else printf('%.0f MiB', length(html) / 1048576.0) end as size from pages")
 def display_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").filter(F.length("html") < 1048576).select("page_id", text.display_bytes(F.length("html")).alias("size"))
+    return table(spark, sf_dir, "pages").select("page_id", text.display_bytes(F.length("html")).alias("size"))

@@ -17,10 +17,11 @@ def _text(spark: SparkSession, *values: str) -> DataFrame:
 
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+_SURT_HOST = f"array_to_string(list_reverse(string_split({_HOST}, '.')), ',') || ','"
 _ARC = "('0x' || md5({k})[:8])::bigint"
 
 
-@query()
+@query(f"select ({_ARC.format(k=_SURT_HOST)} % 8)::int as crawler, count(*) as n from pages group by 1")
 def crawler_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.groupBy(partition.by_hash(F.col("url"), 8, reduce=False).alias("crawler")).agg(F.count("*").alias("n"))
@@ -95,13 +96,14 @@ def released_futures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.due(rows, "again", F.lit("2024-01-10").cast("timestamp_ntz")).select("event_id")
 
 
-@query("""with p as (select ts, event_type, lead(ts) over (order by ts) as until from events where user_id < 3) select count(*)::bigint as samples, round(sum(epoch(until - ts)) filter (event_type <> 'error'), 3) as running from p""")
+@query("""with p as (select ts, event_type, lead(ts) over (order by ts, event_id) as until from events) select count(*)::bigint as samples, round(sum(epoch_us(until) - epoch_us(ts)) filter (event_type <> 'error') / 1e6, 3) as running from p""")
 def elapsed_without_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time between events less that after errors, which stand for pauses."""
-    states = table(spark, sf_dir, "events").filter("user_id < 3")
-    until = states.withColumn("until", F.lead("ts").over(Window.orderBy("ts")))
-    seconds = (F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
-    return until.agg(F.count("*").alias("samples"), F.round(F.sum(F.when(F.col("event_type") != "error", seconds)), 3).alias("running"))
+    states = table(spark, sf_dir, "events").select("ts", "event_id", "event_type")
+    until = frontier.with_next(states, ["ts", "event_id"], "ts", "until")
+    micros = F.unix_micros(F.col("until").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    running = F.sum(F.when(F.col("event_type") != "error", micros)) / 1e6
+    return until.agg(F.count("*").alias("samples"), F.round(running, 3).alias("running"))
 
 
 @query(f"with {FETCHES} select host, max(page_id) as last_finished, count(*) filter (status > 0) as finished from fetches group by host having count(*) filter (status > 0) > 0")
@@ -110,7 +112,7 @@ def host_last_finished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("finished > 0")
 
 
-@query("select page_id, ['http://a.example/x(1)', 'http://b.example/'] as pdf, ['http://c.example/d'] as word, ['http://e.example/f', 'movie.swf'] as flash, ['http://g.example/h?i=j'] as any from pages where page_id < 5")
+@query("select page_id, ['http://a.example/x(1)', 'http://b.example/'] as pdf, ['http://c.example/d'] as word, ['http://e.example/f', 'movie.swf'] as flash, ['http://g.example/h?i=j'] as any from pages")
 def binary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     import zlib
 
@@ -119,7 +121,7 @@ def binary_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     flash = b"CWS\x06\x00\x00\x00\x00" + zlib.compress(b"\x01http://e.example/f\x00\x02movie.swf\x00\x03no file\x00")
     any_ = b"\x00\xffxx http://g.example/h?i=j\x01"
     columns = {"pdf": binary.pdf_links(F.lit(pdf)), "word": binary.word_links(F.lit(word)), "flash": binary.flash_links(F.lit(flash)), "any": binary.address_runs(F.lit(any_))}
-    return table(spark, sf_dir, "pages").filter("page_id < 5").select("page_id", *(c.alias(k) for k, c in columns.items()))
+    return table(spark, sf_dir, "pages").select("page_id", *(c.alias(k) for k, c in columns.items()))
 
 
 @query(f"with {FETCHES}, d as (select page_id, digest, via from fetches), p as (select c.page_id, c.digest = p.digest as same from d c left join (select page_id + 1 as page_id, digest from d) p using (page_id)) select page_id, not coalesce(same, false) as extract from p")
@@ -149,9 +151,9 @@ def write_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frontier.running_total(found, "page_id", {"total": F.col("bytes")}).drop("bytes")
 
 
-@query("select page_id, 'text/html 192.0.2.1 ' || url as line from (select page_id, url from pages where page_id < 20)".replace("'text/html 192.0.2.1 ' || url", "'20240101000000 192.0.2.1 ' || url || ' text/html 200 - 0 ' || strlen(html) || ' f'").replace("select page_id, url from", "select page_id, url, html from"))
+@query("select page_id, 'text/html 192.0.2.1 ' || url as line from (select page_id, url from pages)".replace("'text/html 192.0.2.1 ' || url", "'20240101000000 192.0.2.1 ' || url || ' text/html 200 - 0 ' || strlen(html) || ' f'").replace("select page_id, url from", "select page_id, url, html from"))
 def cdx_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").filter("page_id < 20")
+    pages = table(spark, sf_dir, "pages")
     columns = {"date": F.lit("2024-01-01").cast("timestamp"), "ip": F.lit("192.0.2.1"), "target_uri": F.col("url"), "mimetype": F.lit("text/html"), "status": F.lit(200), "digest": F.lit(None).cast("string"), "offset": F.lit(0), "length": F.octet_length("html"), "file": F.lit("f")}
     return pages.withColumns(columns).select("page_id", lines.cdx_line().alias("line"))
 

@@ -29,11 +29,11 @@ def fetch_stats_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.fetch_stats_levels(fetches(spark, sf_dir), ["host", "hops"])
 
 
-@query(f"with {_STATS} select host, finished, successes, robots_denials, total_bytes from t order by finished desc, host limit 20")
+@query(f"with {_STATS} select host, finished, successes, robots_denials, total_bytes from t")
 def hosts_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fetches(spark, sf_dir)
     counted = stats.fetch_stats(found, ["host"]).select("host", "finished", "successes", "robots_denials", "total_bytes")
-    return stats.hosts_report(found.select("host").distinct(), counted).limit(20)
+    return stats.hosts_report(found.select("host").distinct(), counted)
 
 
 @query(f"with {FETCHES} select status, count(*) as urls, sum(bytes)::bigint as bytes from fetches group by 1")
@@ -292,11 +292,14 @@ def via_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.paths_to_seeds(turns).select("uri", "seed", "depth")
 
 
-@query("select max(depth)::bigint as depth, string_agg(turn::varchar, '>' order by turn) as path from (select turn, turn as depth from conversations where conv_id = 0)")
+@query("select conv_id, max(turn)::bigint as depth, string_agg(turn::varchar, '>' order by turn) as path from conversations group by 1")
 def hop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").filter("conv_id = 0").select(F.col("turn").alias("uri"), F.when(F.col("turn") > 0, F.col("turn") - 1).alias("via"))
-    longest = joins.paths_to_seeds(turns).orderBy(F.desc("depth")).limit(1)
-    return longest.select(F.col("depth").cast("long").alias("depth"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    """The way from each conversation's first turn to its last one."""
+    uri = F.col("conv_id") * 1000 + F.col("turn")
+    turns = table(spark, sf_dir, "conversations").select(uri.alias("uri"), F.when(F.col("turn") > 0, uri - 1).alias("via"))
+    longest = joins.paths_to_seeds(turns).groupBy("seed").agg(F.max_by(F.struct("depth", "path"), "depth").alias("p"))
+    steps = F.transform("p.path", lambda x: (x % 1000).cast("string"))
+    return longest.select((F.col("seed") / 1000).cast("long").alias("conv_id"), F.col("p.depth").cast("long").alias("depth"), F.array_join(steps, ">").alias("path"))
 
 
 @query("""with r(low, high, country) as (values (0, 999, 'aa'), (1000, 70000, 'bb'), (70001, 200000, 'cc')) select o_orderkey, country from orders join r on (o_orderkey * 7) % 250000 between low and high""")
@@ -364,10 +367,10 @@ def digit_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select doc_id, '&lt;' || source || ' &amp; &quot;' || lang || '&quot;&gt;' as escaped, case when doc_id = 0 then '0ms' else
     (case when doc_id * 54321 >= 3600000 then (doc_id * 54321 // 3600000) || 'h' else '' end) || (case when doc_id * 54321 // 60000 % 60 > 0 then (doc_id * 54321 // 60000 % 60) || 'm' else '' end) || (case when doc_id * 54321 // 1000 % 60 > 0 then (doc_id * 54321 // 1000 % 60) || 's' else '' end) || (case when doc_id * 54321 % 1000 > 0 then (doc_id * 54321 % 1000) || 'ms' else '' end) end as duration
-    from documents where doc_id < 1500""")
+    from documents""")
 def display_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.concat(F.lit("<"), "source", F.lit(' & "'), "lang", F.lit('">'))
-    return table(spark, sf_dir, "documents").filter("doc_id < 1500").select("doc_id", text.escape_html(tag).alias("escaped"), text.display_duration(F.col("doc_id") * 54321).alias("duration"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.escape_html(tag).alias("escaped"), text.display_duration(F.col("doc_id") * 54321).alias("duration"))
 
 
 @query("select event_id, json_extract_string(props, '$.k')::int as k, value from events where json_extract_string(props, '$.k')::int > 90")
