@@ -6,16 +6,19 @@ replaced with two unpacked pieces that fit the gap so expanded more tightly, whe
 Packing looks at lengths alone, so the plan is made over the counts of pieces by length (at most
 ``capacity`` numbers, aggregated on the executors): the same bin is repeated as often as the counts
 allow, which gives what packing bin by bin would.  The pieces then find their places by their rank
-among the pieces of their length, from counts by (length, salt): at most ``capacity * SALTS`` rows
-reach the driver, whatever the corpus, and no window holds more than a salt's share of a length.
+among the pieces of their length, from counts by (length, salt).  A length has a salt for each
+``SALT_PIECES`` of its pieces, so a window sorts about that many however large the corpus is, and at most
+``capacity + pieces / SALT_PIECES`` rows of counts reach the driver.
 
-Tokens: the tokenizer's ids without special tokens, then ``end_id``.  The tokenizer parts a text at white
-space before it merges, so ids are looked up by the strings between, in a table of bounded size; texts in
-which normalisation or special tokens might matter go through the tokenizer as a whole.
+Tokens: the tokenizer's ids as it gives them with add_special_tokens=False, then ``end_id``.  The tokenizer
+parts a text at white space before it merges, so ids are looked up by the strings between, in a table of
+bounded size; texts in which normalisation might matter, or that spell one of its added tokens, go through
+the tokenizer as a whole.
 
 Defined results: a null text is empty and has the end id alone; only documents of more than ``capacity``
-ids are cut, into full pieces and a rest; repeated rows are packed each; an empty table gives an empty
-result; other columns are ignored.
+ids are cut, into full pieces and a rest; repeated rows are packed each, in an order that is arbitrary among
+equal ones; a null doc_id comes first in that order; very long texts are tokenised one at a time; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from tokenizers import Tokenizer
 
 from .common import map_texts, stage_table
 
-CAPACITY, END_ID, SALTS = 4096, 1, 32
+CAPACITY, END_ID = 4096, 1
+#: Pieces of one length that a task ranks.
+SALT_PIECES = 500_000
 #: Strings between white space whose ids a task keeps: about 140 MB.
 WORDS = 700_000
 
@@ -61,9 +66,10 @@ class WordIds:
 
     def __init__(self, path: str, limit: int = WORDS) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
+        #: What a text must not spell, in any case, to be looked up by its words.
+        self.added = tuple(t["content"].lower() for t in parts["added_tokens"])
         parts |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "added_tokens": []}
         self.merger = Tokenizer.from_str(json.dumps(parts))
         self.letters = _bytes_as_letters()
@@ -109,7 +115,8 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         decoded = [t.decode("utf-8", "replace") for t in texts]
         plain = [not b.translate(None, _ASCII) if b.isascii() else _PLAIN.issuperset(set(t)) for b, t in zip(texts, decoded)]
-        split = [t.lower().split() if ok and "<|" not in t else None for t, ok in zip(decoded, plain)]
+        lower = [t.lower() if ok else "" for t, ok in zip(decoded, plain)]
+        split = [t.split() if ok and not any(a in t for a in self.added) else None for t, ok in zip(lower, plain)]
         new = set().union(*filter(None, split)).difference(self.table)
         if new:
             self._learn([*new])
@@ -222,13 +229,17 @@ def plan(bins: list[tuple[list[int], int]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "first", "offset"]).sort_values(["length", "rank"])
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, salt_pieces: int = SALT_PIECES) -> DataFrame:
     """pieces with sequence_id and offset.  pieces are read several times: give a table."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"])  # at most capacity * SALTS rows
+    lengths = pieces.groupBy("length").count().toPandas()  # at most capacity rows
+    lengths["salts"] = -(-lengths["count"] // salt_pieces)
+    hot = spark.createDataFrame(lengths.loc[lengths["salts"] > 1, ["length", "salts"]].astype("int64").values.tolist(), "length long, salts long")
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    salted = pieces.join(F.broadcast(hot), "length", "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    counts = salted.groupBy("length", "salt").count().toPandas().sort_values(["length", "salt"])  # at most capacity + pieces / salt_pieces rows
     by_length = np.zeros(capacity + 1, np.int64)
-    np.add.at(by_length, counts["length"].to_numpy(), counts["count"].to_numpy())
+    by_length[lengths["length"].to_numpy()] = lengths["count"].to_numpy()
     runs = plan(best_two_fit(by_length, capacity))
     before = {(r.length, r.salt): int(b) for r, b in zip(counts.itertuples(), counts.groupby("length")["count"].cumsum() - counts["count"])}
     of = {length: tuple(part[c].to_numpy() for c in ("rank", "first", "offset")) for length, part in runs.groupby("length")}
