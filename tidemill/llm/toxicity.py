@@ -13,13 +13,15 @@ Features are the presence of words, and of word beginnings of ``PREFIX`` bytes,
 single out as more frequent in positives; so one random word of a long text doesn't matter.
 
 The fit uses a bounded sample: the ``POSITIVES`` toxic and ``UNLABELLED`` other documents first by a hash of
-the id, with the distinct words of their whole texts.  The prior is the share of toxic rows among the
-labelled training rows.  All texts are scored whole.
+the id, of those that have a text's row, with the distinct words of their whole texts.  The prior is the share
+of toxic rows among the labelled training rows.  All texts are scored whole.
 
 Defined results: a null or empty text has no words and is scored by the bias alone; a document is toxic if
-any of its label rows says so; null labels count as unlabelled; with no positive document all scores are
-the prior (0 without labels); repeated rows are each returned; an empty table gives an empty result; other
-columns are ignored.
+any of its label rows says so; null labels count as unlabelled; labels of unknown documents count for the prior
+alone; with no positive document all scores are the prior (0 without labels); doc_id may be of any type; a null
+doc_id is no training row but is scored; ids whose hashes tie are taken in their order, features that tie in that
+of their hashes; repeated rows are each returned, and each in the sample if their id is; very long texts are scored
+one at a time; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .common import map_texts, stage_table, word_hashes
 from .decontaminate import FOLD
@@ -117,13 +120,15 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     total = labelled.agg(F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
     prior = min(max((total[1] or 0) / total[0], 1e-4), 0.9999) if total[0] else 1e-9
     order = F.xxhash64("doc_id")
-    toxic = labelled.filter("toxic > 0").select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(positives)
-    all_ids = docs.select("doc_id").dropna().distinct().select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(unlabelled)
+    ids = docs.select("doc_id").dropna().distinct()
+    toxic = labelled.filter("toxic > 0").join(ids, "doc_id", "left_semi").select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(positives)
+    all_ids = ids.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(unlabelled)
     wanted = {r.doc_id: 1 for r in all_ids.collect()}
     for r in toxic.collect():  # 3: in both samples
         wanted[r.doc_id] = wanted.get(r.doc_id, 0) | 2
     spark = docs.sparkSession
-    shared = spark.createDataFrame(list(wanted.items()) or [], "doc_id long, side int")
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("side", IntegerType())])
+    shared = spark.createDataFrame(list(wanted.items()), schema)
     sample = docs.join(F.broadcast(shared), "doc_id")  # at most positives + unlabelled ids
     rows = stage_table(map_texts(sample, ["side"], "features array<long>", lambda: lambda texts: [[d.view(np.int64) for d in _distinct(texts)]]), "features")
     features = select_features(rows, prior, most)
