@@ -1,6 +1,13 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, decontamination and packing, in stages.
 
 Every stage reads what its predecessor wrote and, but for the last one, returns the columns of documents.
+
+Defined results: documents with a null or empty text are in no language and go in the first stage; so do those
+without a letter.  A null doc_id is passed on: its lines come last in order, it is no near-duplicate, and it is packed.
+Rows that repeat doc_id and text are one document, of which the near_duplicates stage keeps one; of lines and documents
+that tie the one with the least doc_id stays.  Very long texts pass as any other.  An empty table of documents or of
+benchmark items gives an empty result or takes nothing out.  Further columns of documents are passed on up to the last
+stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm import decontaminate, langid, line_dedup, odd_minhash, packing
-from tidemill.llm.common import scratch_dir
+from tidemill.llm.common import scratch_dir, scratch_until_written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -66,7 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = f"{scratch_dir(spark)}/tidemill-scratch/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_until_written(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
