@@ -204,13 +204,14 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     gone = repeated_lines(docs, **options)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     joined = docs.select(row, _place("doc_id").alias("o"), _text_key("text").alias("t")).join(gone, ["o", "t"], "left")
-    split = joined.select("row", "gone", F.split("row.text", "\n").alias("ls"))
+    # lines and what goes are bound to variables, so that no filter above parts the text anew for each line
+    bound = F.array(F.struct(F.split("row.text", "\n").alias("ls"), F.col("gone").alias("gone")))
     # texts whose keys collide share a group: what isn't this text's line is passed over
-    own = split.select("row", "ls", F.filter("gone", lambda g: F.coalesce(F.xxhash64(F.get("ls", g["n"])) == g["h1"], F.lit(False))).alias("gone"))
-    lines = F.size("ls").alias("lines")
-    begin = lambda k: F.when(k == 0, 0).otherwise(F.get("gone", k - 1)["n"] + 1)
-    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("ls", begin(k) + 1, F.coalesce(F.get("gone", k)["n"], F.size("ls")) - begin(k)))
-    joined = own.select("row", lines, F.when(F.size("gone") > 0, F.flatten(between)).alias("kept"))
+    own = F.transform(bound, lambda s: F.struct(s["ls"].alias("ls"), F.filter(s["gone"], lambda g: F.coalesce(F.xxhash64(F.get(s["ls"], g["n"])) == g["h1"], F.lit(False))).alias("gone")))
+    begin = lambda s, k: F.when(k == 0, 0).otherwise(F.get(s["gone"], k - 1)["n"] + 1)
+    between = lambda s: F.transform(F.sequence(F.lit(0), F.size(s["gone"])), lambda k: F.slice(s["ls"], begin(s, k) + 1, F.coalesce(F.get(s["gone"], k)["n"], F.size(s["ls"])) - begin(s, k)))
+    kept = F.get(F.transform(own, lambda s: F.when(F.size(s["gone"]) > 0, F.flatten(between(s)))), F.lit(0))
+    joined = joined.select("row", F.size(F.split("row.text", "\n")).alias("lines"), F.when(F.col("gone").isNotNull(), kept).alias("kept"))
     n = F.when(F.col("row.text").isNull(), 0).otherwise(F.col("lines"))
     text = F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("row.text"))
     columns = [text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns]
