@@ -7,9 +7,6 @@ lengths is bounded by the longest key; the rule sides aren't broadcast by hand,
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import uris
 
+from .scratch import shared_folder
+
 
 def prefix_lengths(prefixes: DataFrame, prefix: str) -> list[int]:
     """The lengths that occur: a few hundred numbers at most, as keys are no longer than URIs may be."""
@@ -121,12 +120,7 @@ def with_via(rows: DataFrame, columns: list[str], uri: str = "uri", via: str = "
 def _staged(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again, so that no lineage grows with the rounds."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    path = f"{folder}/tidemill-scratch/paths-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidemill-scratch/paths-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

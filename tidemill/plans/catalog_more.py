@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import canonical, hops, text, uris
 from tidemill.operators import extract, frontier, joins, rules, stats
+from tidemill.operators.scratch import shared_folder
 from tidemill.sources import archives
 from tidemill.streaming import crawl
 
@@ -17,11 +18,8 @@ from .base import FETCHES, fetches, query, table
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place that the cluster shares; in tests, in a temporary one."""
-    import tempfile
-
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    return f"{base}/tidemill-{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the place that the cluster shares; archives are written through folders mounted alike."""
+    return f"{shared_folder(spark).removeprefix('file://')}/tidemill-{name}-{uuid.uuid4().hex}"
 
 
 # ---- archives
