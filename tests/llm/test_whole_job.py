@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections import defaultdict
 
 import corpus_pipeline
-from tidemill.llm import paragraph_dedup
+from tidemill.llm import common, odd_minhash, paragraph_dedup
 
 from .conftest import prose
 from .test_operators import shingles, split
@@ -41,6 +42,28 @@ def test_line_signatures_of_equal_and_similar_sets():
         assert (x[1][0], x[2][0], x[4][0]) == (k1[i], k2[i], odd[i]) and (bands[i] is None or list(x[3][0]) == list(bands[i]))
 
 
+def test_signatures_are_on_disk_once_and_only_until_buckets_are_known(make, spark, monkeypatch):
+    texts = {k: prose(k, 60) for k in range(40)}
+    texts |= {50: prose(3, 60) + " more", 51: prose(4, 60), 52: "short", 53: "SHORT", 54: "lone", 55: None}
+    begin, signed, stage_table = len(common._staged), [], common.stage_table
+
+    def tables():
+        return [spark.read.parquet(p) for p in common._staged[begin:] if os.path.exists(p.removeprefix("file://"))]
+
+    def watched(df, name):
+        out = stage_table(df, name)
+        signed.append(sum("bands" in t.columns for t in tables()))
+        return out
+
+    monkeypatch.setattr(odd_minhash, "stage_table", watched)
+    got = odd_minhash.near_duplicates(make(texts)).collect()
+    assert max(signed) == 1 and not any("bands" in t.columns for t in tables())
+    # classes that meet no other are in no table that is joined
+    assert [t.count() for t in tables() if "copies" in t.columns] == [4]
+    assert {(r.doc_id, r.component_id) for r in got if r.grouped} == {(3, 3), (50, 3), (4, 4), (51, 4), (52, 52), (53, 52)}
+    assert {r.doc_id: r.n_shingles for r in got} == {k: len(shingles(t or "")) for k, t in texts.items()}
+
+
 def test_pipeline_drops_near_copies_from_a_similarity_of_80(make, spark):
     texts = {k: prose(k, 90) for k in range(5)}
     for first, n, changed in ((10, 100, (30, 70)), (20, 89, (30, 60))):

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, drop_tables, likely_in, map_texts, mix, salted_left_join, shingle_hashes, stage_table, word_hashes
+from .common import arrow_limits, drop_tables, likely_in, map_texts, mix, release_shuffles, salted_left_join, shingle_hashes, stage_table, word_hashes
 from .components import connected_components
 
 
@@ -84,6 +84,39 @@ def set_keys(hashes: np.ndarray, begin: np.ndarray) -> list[np.ndarray]:
     return [np.add.reduceat(mix(mix(hashes ^ x)), begin).view(np.int64) for x in (np.uint64(0), _OTHER_HALF)]
 
 
+def distinct_shingles(texts: list[bytes | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, sorted, one text after the other, and how many each has."""
+    hashes, offsets = shingle_hashes(*word_hashes(texts), size)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(texts))
+
+
+def text_keys(hashes: np.ndarray, counts: np.ndarray) -> list[list]:
+    """The two halves of the key of each text's set, of what ``distinct_shingles`` gives; none of an empty set."""
+    out: list[list] = [[None] * len(counts), [None] * len(counts)]
+    some = np.flatnonzero(counts)
+    if len(some):
+        begin = np.cumsum(counts[some]) - counts[some]
+        for column, keys in zip(out, set_keys(hashes, begin)):
+            for k, key in zip(some.tolist(), keys.tolist()):
+                column[k] = key
+    return out
+
+
+def _keyer(tuning: Tuning):
+    """n_shingles, k1 and k2 as the signers give them, without signatures."""
+
+    def keyed(texts: list[bytes | None]) -> list[list]:
+        hashes, counts = distinct_shingles(texts, tuning.size)
+        return [counts, *text_keys(hashes, counts)]
+
+    return keyed
+
+
 def _signer(tuning: Tuning):
     bands, rows, samples = tuning.bands, tuning.rows, tuning.samples
     rng = np.random.default_rng(7)
@@ -166,6 +199,16 @@ def _buckets(banded: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "key long, rep long, center long")
 
 
+def _grouped_classes(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The classes that may be in a group: of several copies, or in a bucket with another (and a few more, by the bitmap).
+
+    The others meet nothing, so no later join need ship them.
+    """
+    members = shared.select("rep").distinct()
+    single = likely_in(classes.filter("copies = 1"), "rep", members, members.count(), "rep")
+    return single.union(classes.filter("copies > 1"))
+
+
 def _likely(pairs: DataFrame, reps: DataFrame, tuning: Tuning) -> DataFrame:
     """The pairs (a, b) whose odd sketches don't rule a link out."""
     one = reps.select(F.col("rep").alias("a"), F.col("odd").alias("odd_a"))
@@ -319,15 +362,24 @@ def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS, signer: Callabl
 
     doc_id may be of any type that has an order, such as a struct; component_id is the least one of the group.
     signer: ``signer(tuning)`` gives the function of texts for ``map_texts``.
+
+    Bands are most of what is signed, so only one copy of them is on disk besides the shuffle that is made or read:
+    rows aren't written with them (the keys of sets are worked out again for the result), and they are deleted once
+    the buckets are known.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").alias("id"), "text")
-    fields = "n_shingles long, k1 long, k2 long, bands array<long>, odd binary"
-    signed = stage_table(map_texts(docs, ["id"], fields, lambda: signer(tuning)), "signed")
+    fields = "n_shingles long, k1 long, k2 long"
+    signed = map_texts(docs, ["id"], f"{fields}, bands array<long>, odd binary", lambda: signer(tuning))
     usable = signed.filter("n_shingles > 0 and id is not null")
-    reps = usable.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
+    classes = usable.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("n_shingles").alias("n_shingles"))
     # a class's number is given once, when it is written
-    reps = stage_table(reps.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    shared = stage_table(_buckets(reps.select(F.explode("bands").alias("key"), "rep")), "buckets")
+    classes = stage_table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    release_shuffles(spark)
+    shared = stage_table(_buckets(classes.select(F.explode("bands").alias("key"), "rep")), "buckets")
+    release_shuffles(spark)
+    reps = stage_table(_grouped_classes(classes.drop("bands"), shared), "reps")
+    drop_tables(spark, classes)
     pairs = shared.filter("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
     likely = stage_table(_likely(pairs, reps, tuning), "likely")
     links = stage_table(_confirm(likely, reps, docs, tuning), "links")
@@ -336,12 +388,12 @@ def near_duplicates(docs: DataFrame, tuning: Tuning = DOCUMENTS, signer: Callabl
     if not more.isEmpty():
         links = stage_table(links.union(_confirm(more, reps, docs, tuning)), "links")
         found = stage_table(connected_components(links), "components")
-    drop_tables(docs.sparkSession, shared, likely, more, links)
+    drop_tables(spark, shared, likely, more, links)
     labels = found.join(reps.select(F.col("rep").alias("vertex"), "first"), "vertex").groupBy("component").agg(F.min("first").alias("label"))
     found = found.join(labels, "component").select(F.col("vertex").alias("rep"), "label")
     classes = reps.select("k1", "k2", "rep", "first", "copies").join(found, "rep", "left")
     classes = classes.filter("copies > 1 or label is not null").select("k1", "k2", F.coalesce("label", "first").alias("class_component"))
-    out = salted_left_join(signed.select("id", "n_shingles", "k1", "k2"), classes, ["k1", "k2"], "id")
+    out = salted_left_join(map_texts(docs, ["id"], fields, lambda: _keyer(tuning)), classes, ["k1", "k2"], "id")
     component = F.when(F.col("id").isNotNull(), F.coalesce("class_component", "id"))
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.col("class_component").isNotNull().alias("grouped"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

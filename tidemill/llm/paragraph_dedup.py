@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, likely_in, map_texts, mix, powers, release_shuffles, shingle_hashes, stage_table, word_hashes
-from .odd_minhash import Tuning, near_duplicates, set_keys
+from .common import drop_tables, likely_in, map_texts, mix, powers, release_shuffles, stage_table, word_hashes
+from .odd_minhash import Tuning, distinct_shingles, near_duplicates, text_keys
 
 GRAM, REACH = 32, 19
 PARAGRAPHS = Tuning(share=(80, 100), bands=15, rows=4, bits=128)
@@ -69,26 +69,13 @@ def _line_signer(tuning: Tuning):
         return out
 
     def sign(texts: list[bytes | None]) -> list[list]:
-        hashes, offsets = shingle_hashes(*word_hashes(texts), tuning.size)
-        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        order = np.lexsort((hashes, owner))
-        owner, hashes = owner[order], hashes[order]
-        new = np.ones(len(hashes), bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-        owner, hashes = owner[new], hashes[new]
-        counts = np.bincount(owner, minlength=len(texts))
-        out: list[list] = [counts, *([None] * len(texts) for _ in range(4))]
-        some = np.flatnonzero(counts)
-        if not len(some):
-            return out
-        begin = np.cumsum(counts[some]) - counts[some]
-        for k, one, two in zip(some.tolist(), *(x.tolist() for x in set_keys(hashes, begin))):
-            out[1][k], out[2][k] = one, two
+        hashes, counts = distinct_shingles(texts, tuning.size)
+        out: list[list] = [counts, *text_keys(hashes, counts), *([None] * len(texts) for _ in range(2))]
         links = tuning.share[1] * counts >= tuning.share[0] * (counts + 1)
         wide = np.flatnonzero(links & (counts > 0))
         if not len(wide):
             return out
-        x = (hashes[links[owner]] >> np.uint64(32)).astype(np.uint32)
+        x = (hashes[np.repeat(links, counts)] >> np.uint64(32)).astype(np.uint32)
         least = samples_of(x, np.cumsum(counts[wide]) - counts[wide]).astype(np.uint64)
         banded = mix((least.reshape(-1, bands, rows) * factors).sum(axis=2) + np.arange(bands, dtype=np.uint64)).view(np.int64)
         spots = (mix(least ^ sample_keys) % np.uint64(tuning.bits)).astype(np.int64) + tuning.bits * np.arange(len(wide))[:, None]
