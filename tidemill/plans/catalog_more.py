@@ -80,11 +80,19 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives until its source is read through, as a table in memory of the driver: for small results."""
-    name = f"t{uuid.uuid4().hex}"
-    waiting = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    waiting.awaitTermination()
-    return stream.sparkSession.table(name)
+    """What a stream gives until its source is read through.
+
+    Rows that are appended go to files of the shared folder, as they may be as many as the source's; a complete result
+    is a table in memory of the driver: for small ones.
+    """
+    spark, name = stream.sparkSession, f"t{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True)
+    if mode == "complete":
+        writer.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    path = f"{shared_folder(spark)}/tidemill-scratch/stream-{name}"
+    writer.format("parquet").option("checkpointLocation", f"{path}-state").start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 @query("select time_bucket(interval '1 day', ts) as start, time_bucket(interval '1 day', ts) + interval '1 day' as \"end\", count(*) as n, count(*) filter (event_type = 'error') as errors from events group by 1, 2")

@@ -46,17 +46,19 @@ def frontier(candidates: DataFrame, session: int = 3000, total: int = 1 << 62, q
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turn, spent, spent_now = state.get if state.exists else (0, 0, 0)
-        for batch in batches:
-            rows = []
-            for r in batch.sort_values("ordinal").itertuples():
-                if spent >= total:
-                    rows.append((key[0], r.uri, turn, spent, "retired"))
-                    continue
-                turn, spent, spent_now = turn + 1, spent + int(r.cost), spent_now + int(r.cost)
+        # Spark cuts a queue's rows into Arrow batches anywhere, so that only all of them together have an order
+        batch = pd.concat(list(batches)).sort_values("ordinal")
+        turns, expenditures, states = [], [], []
+        for cost in batch["cost"].tolist():
+            what = "retired"
+            if spent < total:
+                turn, spent, spent_now = turn + 1, spent + int(cost), spent_now + int(cost)
                 what = "retired" if spent >= total else "inactive" if spent_now > session else "active"
                 spent_now = 0 if what == "inactive" else spent_now
-                rows.append((key[0], r.uri, turn, spent, what))
-            yield pd.DataFrame(rows, columns=["queue", "uri", "turn", "expenditure", "state"])
+            turns.append(turn)
+            expenditures.append(spent)
+            states.append(what)
+        yield pd.DataFrame({"queue": key[0], "uri": batch["uri"].to_numpy(), "turn": turns, "expenditure": expenditures, "state": states})
         state.update((turn, spent, spent_now))
 
     grouped = candidates.select(F.col(queue).alias("queue"), "uri", "cost", "ordinal").groupBy("queue")
