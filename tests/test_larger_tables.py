@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import duckdb
+
 from tidemill.plans import catalog, catalog_more
 from tidemill.streaming import crawl
 
@@ -34,3 +36,26 @@ def test_appended_rows_of_streams_stay_out_of_the_driver(spark, tmp_path):
     assert sorted(r.k for r in found.collect()) == [1, 2] and len(found.inputFiles()) > 0
     nothing = catalog_more._drained(_stream(spark, [], "k int", str(tmp_path / "none")), "append")
     assert nothing.columns == ["k"] and nothing.count() == 0
+
+
+def _same_as_sql(spark, name, tables, path):
+    """Whether a query gives its SQL's rows over such tables, and so many rows that there is something to compare."""
+    with duckdb.connect("", config={"threads": 1}) as duck:
+        for table, frame in tables.items():
+            frame.coalesce(1).write.parquet(f"{path}/{table}.parquet")
+            duck.execute(f"create view {table} as select * from '{path}/{table}.parquet/*.parquet'")
+        result = duck.execute(catalog.oracle_sql()[name])
+        columns = [d[0] for d in result.description]
+        want = sorted(result.fetchall(), key=repr)
+    got = sorted((tuple(r[c] for c in columns) for r in catalog.queries()[name](spark, str(path)).collect()), key=repr)
+    assert want and got == want
+
+
+def _repeated_pages(spark):
+    """Pages of which every third URL occurs several times, each with a link of its own."""
+    rows = [(k, f"http://a.example.com/{k % 40 if k % 3 else 0}", f'<a href="/to/{k}">x</a>') for k in range(120)]
+    return {"pages": spark.createDataFrame(rows, "page_id long, url string, html string")}
+
+
+def test_links_of_repeated_urls_follow_their_own_fetch(spark, tmp_path):
+    _same_as_sql(spark, "candidate_links", _repeated_pages(spark), tmp_path)

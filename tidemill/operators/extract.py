@@ -60,21 +60,22 @@ def hop_of(element: Column, attribute: Column, frames_embed: bool = True) -> Col
 _NO_LINK = r"(?i)^(?:#|$|(?:javascript|mailto|data|tel):)"
 
 
-def html_links(pages: DataFrame, url: str = "url", html: str = "html", resolve: bool = True, most: int = MOST_LINKS, frames_embed: bool = True, inline: bool = True) -> DataFrame:
+def html_links(pages: DataFrame, url: str = "url", html: str = "html", resolve: bool = True, most: int = MOST_LINKS, frames_embed: bool = True, inline: bool = True, keys: list[str] | None = None) -> DataFrame:
     """Distinct links of pages; forms that post aren't followed, nor pages whose robots element says nofollow.
 
     ``most`` counts references that make a link.  ``inline`` adds what scripts, styles and handlers within the page
-    name (``inline_links``).
+    name (``inline_links``).  ``keys`` are columns that links keep, to tell apart pages of the same URL.
     """
+    kept = keys or []
     text = F.col(html)
     nofollow = F.regexp_like(text, F.lit(r"""(?is)<meta\s(?=[^>]*name\s*=\s*["']?robots)[^>]*content\s*=\s*["'][^"']*(?:nofollow|none)"""))
-    read = pages.filter(~F.coalesce(nofollow, F.lit(False))).select(F.col(url).alias("src"), text.alias("_html"), references(text).alias("_found"))
+    read = pages.filter(~F.coalesce(nofollow, F.lit(False))).select(F.col(url).alias("src"), *kept, text.alias("_html"), references(text).alias("_found"))
     base = F.get(F.filter("_found", lambda r: (r["element"] == "base") & (r["attribute"] == "href")), F.lit(0))["value"]
     linking = F.filter("_found", lambda r: hop_of(r["element"], r["attribute"], frames_embed).isNotNull() & ~F.regexp_like(r["value"], F.lit(_NO_LINK)))
     marked = F.transform(F.slice(linking, 1, most), lambda r: F.struct(r["value"].alias("dst"), F.concat_ws("/@", r["element"], r["attribute"]).alias("context"), hop_of(r["element"], r["attribute"], frames_embed).alias("hop")))
     if inline:
         marked = F.concat(marked, F.slice(inline_links(F.col("_html")), 1, most))
-    links = read.select("src", F.coalesce(F.nullif(base, F.lit("")), F.col("src")).alias("_base"), F.explode(marked).alias("r")).select("src", "_base", "r.*")
+    links = read.select("src", *kept, F.coalesce(F.nullif(base, F.lit("")), F.col("src")).alias("_base"), F.explode(marked).alias("r")).select("src", *kept, "_base", "r.*")
     links = links.withColumn("dst", unescape_html("dst")).filter(~F.regexp_like("dst", F.lit(_NO_LINK)))
     if resolve:
         links = links.withColumn("dst", uris.resolve("_base", "dst")).filter("dst is not null")
@@ -179,9 +180,12 @@ def refresh_target(html: Column) -> Column:
     return F.nullif(F.regexp_extract(html, r"""(?is)<meta\s(?=[^>]*http-equiv\s*=\s*["']?refresh)[^>]*content\s*=\s*["'][^"'>]*?url\s*=\s*([^"'>\s]+)""", 1), F.lit(""))
 
 
-def candidates(links: DataFrame, fetches: DataFrame, seeds_from_redirects: bool = True, most_seed_hops: int = 5) -> DataFrame:
-    """Children of links whose page was fetched well: path, via, context, source tag; redirects of seeds may be seeds."""
-    parent = fetches.filter(F.col("status").between(200, 399)).select(F.col("uri").alias("src"), "hops", "source_tag", "is_seed")
+def candidates(links: DataFrame, fetches: DataFrame, seeds_from_redirects: bool = True, most_seed_hops: int = 5, keys: list[str] | None = None) -> DataFrame:
+    """Children of links whose page was fetched well: path, via, context, source tag; redirects of seeds may be seeds.
+
+    Where a URL was fetched more than once, ``keys`` of links and fetches say which fetch a link is of.
+    """
+    parent = fetches.filter(F.col("status").between(200, 399)).select(F.col("uri").alias("src"), *(keys or []), "hops", "source_tag", "is_seed")
     path = F.concat(F.coalesce("hops", F.lit("")), "hop")
     promoted = F.col("is_seed") & is_redirect(path) & (F.length(path) < most_seed_hops) & F.lit(seeds_from_redirects)
-    return links.join(parent, "src").select(F.col("dst").alias("uri"), F.col("src").alias("via"), F.col("context").alias("via_context"), path.alias("hops"), "source_tag", promoted.alias("is_seed"))
+    return links.join(parent, ["src", *(keys or [])]).select(F.col("dst").alias("uri"), F.col("src").alias("via"), F.col("context").alias("via_context"), path.alias("hops"), "source_tag", promoted.alias("is_seed"))

@@ -143,9 +143,9 @@ def frontier_prepare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""with h as (select url as src, page_id, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<a\\s+href="[^"]+"')) as h from pages), l as (select distinct src, page_id, replace(regexp_extract(h, '"(.*)"', 1), '&amp;', '&') as dst from h)
     select distinct dst as uri, src as via, ['', 'L', 'LL', 'LLE', 'LER', 'LEEX', 'LLLLP'][(page_id % 7) + 1] || 'L' as hops from l where page_id % 10 in (1, 2, 6, 7, 8, 9)""")
 def candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = extract.html_links(table(spark, sf_dir, "pages"), resolve=False).filter("context = 'a/@href'")
+    links = extract.html_links(table(spark, sf_dir, "pages"), resolve=False, keys=["page_id"]).filter("context = 'a/@href'")
     found = fetches(spark, sf_dir).withColumns({"source_tag": F.lit(None).cast("string"), "is_seed": F.col("hops") == ""})
-    return extract.candidates(links, found).select("uri", "via", "hops").distinct()
+    return extract.candidates(links, found, keys=["page_id"]).select("uri", "via", "hops").distinct()
 
 
 @query()
