@@ -59,3 +59,8 @@ def _repeated_pages(spark):
 
 def test_links_of_repeated_urls_follow_their_own_fetch(spark, tmp_path):
     _same_as_sql(spark, "candidate_links", _repeated_pages(spark), tmp_path)
+
+
+def test_durations_beyond_a_day(spark, tmp_path):
+    documents = spark.range(1580, 1700).selectExpr("id as doc_id", "'src1' as source", "'en' as lang")
+    _same_as_sql(spark, "display_formats", {"documents": documents}, tmp_path)

@@ -43,10 +43,10 @@ def display_bytes(n: Column) -> Column:
     return out
 
 
-def display_duration(ms: Column) -> Column:
-    """1d2h3m4s5ms, without the units that are nought."""
+def display_duration(ms: Column, days: bool = True) -> Column:
+    """1d2h3m4s5ms, without the units that are nought; without days, hours go on counting."""
     out, rest = [], ms
-    for name, size in (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000), ("s", 1000), ("ms", 1)):
+    for name, size in (("d", 86_400_000), ("h", 3_600_000), ("m", 60_000), ("s", 1000), ("ms", 1))[not days :]:
         n = F.floor(rest / size)
         out.append(F.when(n > 0, F.concat(n.cast("string"), F.lit(name))).otherwise(""))
         rest = rest - n * size
