@@ -34,12 +34,12 @@ def parse_digits_date(digits: Column) -> Column:
 
 
 def display_bytes(n: Column) -> Column:
-    """Bytes in the largest unit they fill, with one decimal below ten."""
+    """Bytes in the largest unit they fill, with one decimal below ten; halves go to the even digit."""
     size, unit = n.cast("double"), F.lit("B")
     out = F.concat(n.cast("string"), F.lit(" "), unit)
     for k, name in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
         x = size / 1024.0**k
-        out = F.when(x >= 1, F.concat(F.when(x < 10, F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x)), F.lit(f" {name}"))).otherwise(out)
+        out = F.when(x >= 1, F.concat(F.when(x < 10, F.format_string("%.1f", F.bround(x, 1))).otherwise(F.format_string("%.0f", F.bround(x, 0))), F.lit(f" {name}"))).otherwise(out)
     return out
 
 
