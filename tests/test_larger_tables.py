@@ -70,3 +70,7 @@ def test_sizes_halfway_between_digits(spark, tmp_path):
     sizes = [0, 1023, 1024, 1279, 1280, 1281, 1792, 2304, 3328, 9983, 10239, 10240, 10752, 11776, 1048575, 1048576, 1310720, 1835008, 11010048]
     pages = spark.createDataFrame(list(enumerate(sizes)), "page_id long, n int").selectExpr("page_id", "'http://a.example/' as url", "repeat('x', n) as html")
     _same_as_sql(spark, "display_sizes", {"pages": pages}, tmp_path)
+
+
+def test_seeds_of_repeated_urls_are_reported_once_a_fetch(spark, tmp_path):
+    _same_as_sql(spark, "seeds_report", _repeated_pages(spark), tmp_path)

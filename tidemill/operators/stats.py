@@ -89,11 +89,21 @@ def hosts_report(hosts: DataFrame, stats: DataFrame, host: str = "host") -> Data
     return joined.orderBy(F.desc("finished"), host)
 
 
-def seeds_report(seeds: DataFrame, fetches: DataFrame, redirects: DataFrame) -> DataFrame:
-    """Seeds with status, whether they were crawled, and where they redirect; unfinished ones first."""
+def seeds_report(seeds: DataFrame, fetches: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
+    """Seeds with status, whether they were crawled, and where they redirect; unfinished ones first.
+
+    Status and redirect are looked up by URI, one row for each fetch and redirect of it; without tables for that, seeds
+    hold their own, and URIs that were fetched more than once stay apart.
+    """
+    if fetches is None or redirects is None:
+        return _seed_rows(seeds)
     joined = seeds.join(fetches.select("uri", "status"), "uri", "left").join(redirects.select(F.col("src").alias("uri"), F.col("dst").alias("redirect")), "uri", "left")
+    return _seed_rows(joined)
+
+
+def _seed_rows(seeds: DataFrame) -> DataFrame:
     status = F.coalesce(F.col("status"), F.lit(0))
-    found = joined.select("uri", status.alias("status"), F.when(status > 0, "CRAWLED").otherwise("NOTCRAWLED").alias("disposition"), F.when(status.isin(301, 302, 307, 308), F.col("redirect")).alias("redirect"))
+    found = seeds.select("uri", status.alias("status"), F.when(status > 0, "CRAWLED").otherwise("NOTCRAWLED").alias("disposition"), F.when(status.isin(301, 302, 307, 308), F.col("redirect")).alias("redirect"))
     return found.orderBy(shifted_status(F.col("status")), "uri")
 
 
