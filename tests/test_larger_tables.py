@@ -74,3 +74,12 @@ def test_sizes_halfway_between_digits(spark, tmp_path):
 
 def test_seeds_of_repeated_urls_are_reported_once_a_fetch(spark, tmp_path):
     _same_as_sql(spark, "seeds_report", _repeated_pages(spark), tmp_path)
+
+
+def test_first_of_repeated_parents(spark, tmp_path):
+    _same_as_sql(spark, "via_self_join", _repeated_pages(spark), tmp_path)
+
+
+def test_traps_by_the_page_that_led_there(spark, tmp_path):
+    rows = [(0, "http://a.example/x", "A"), (1, "http://a.example/y", "B"), (2, "http://a.example/x", "B"), (3, "http://a.example/z", "A")]
+    _same_as_sql(spark, "trap_suppression", {"pages": spark.createDataFrame(rows, "page_id long, url string, html string")}, tmp_path)

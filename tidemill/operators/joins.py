@@ -111,9 +111,10 @@ def dimension(rows: DataFrame, key: str, table: DataFrame, default: dict[str, Co
     return out.withColumns({k: F.coalesce(F.col(k), v) for k, v in (default or {}).items()})
 
 
-def with_via(rows: DataFrame, columns: list[str], uri: str = "uri", via: str = "via") -> DataFrame:
-    """rows with columns of the row that led to them, prefixed ``via_``."""
-    parent = rows.select(F.col(uri).alias("_u"), *(F.col(c).alias(f"via_{c}") for c in columns)).dropDuplicates(["_u"])
+def with_via(rows: DataFrame, columns: list[str], uri: str = "uri", via: str = "via", order: list[str] | None = None) -> DataFrame:
+    """rows with columns of the row that led to them, prefixed ``via_``; of several rows of a URI the first in order."""
+    parent = rows.select(F.col(uri).alias("_u"), F.struct(*(F.col(c).alias(f"via_{c}") for c in columns)).alias("_via"), F.struct(*(order or columns)).alias("_order"))
+    parent = parent.groupBy("_u").agg(F.min_by("_via", "_order").alias("_via")).select("_u", "_via.*")
     return rows.join(parent, rows[via] == parent["_u"], "left").drop("_u")
 
 
