@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import duckdb
 
+from tidemill.operators import joins
 from tidemill.plans import catalog, catalog_more
+from tidemill.sources import archives
 from tidemill.streaming import crawl
 
 
@@ -83,3 +86,22 @@ def test_first_of_repeated_parents(spark, tmp_path):
 def test_traps_by_the_page_that_led_there(spark, tmp_path):
     rows = [(0, "http://a.example/x", "A"), (1, "http://a.example/y", "B"), (2, "http://a.example/x", "B"), (3, "http://a.example/z", "A")]
     _same_as_sql(spark, "trap_suppression", {"pages": spark.createDataFrame(rows, "page_id long, url string, html string")}, tmp_path)
+
+
+def test_order_says_which_parent_counts(spark):
+    rows = spark.createDataFrame([(3, "a", "x"), (2, "a", "x"), (1, "b", "a"), (4, "a", "x")], "n int, uri string, via string")
+    for by, want in ((["n"], 2), ([rows.n * -1], 4)):
+        assert [r.via_n for r in joins.with_via(rows, ["n"], order=by).filter("via_n is not null").collect()] == [want]
+
+
+def test_archives_are_read_in_batches_of_bytes(spark, tmp_path):
+    date = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    rows = [("response", f"http://a.example/{k}", date, {"X-K": str(k)}, bytes([k]) * (3 << 20)) for k in range(4)]
+    frame = spark.createDataFrame(rows, "type string, target_uri string, date timestamp, headers map<string,string>, payload binary")
+    archives.register(spark)
+    frame.coalesce(1).write.format("webarchive").mode("append").save(str(tmp_path / "w"))
+    [file] = (tmp_path / "w").glob("*.warc.gz")
+    sizes = [b.num_rows for b in archives.ArchiveReader({"path": str(file)}).read(archives.File(str(file)))]
+    assert sizes == [2, 2]
+    read = spark.read.format("webarchive").load(str(tmp_path / "w")).collect()
+    assert [(r.type, r.target_uri, r.date, {"X-K": r.headers["X-K"]}, bytes(r.payload)) for r in sorted(read, key=lambda r: r.offset)] == rows

@@ -55,16 +55,17 @@ def archive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     def again(batches):
         import hashlib
 
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                [record] = list(archives.read_file(r.file, offset=r.offset, only=True))
-                rows.append((record[6], hashlib.sha1(record[10]).hexdigest() == r.digest))
-            yield pd.DataFrame(rows, columns=["uri", "same"])
-
-    read = found.mapInPandas(again, "uri string, same boolean")
+            found_uris, same = [], []
+            for file, offset, digest in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "digest"))):
+                [record] = list(archives.read_file(file, offset=offset, only=True))
+                found_uris.append(record[6])
+                same.append(hashlib.sha1(record[10]).hexdigest() == digest)
+            yield pa.RecordBatch.from_arrays([pa.array(found_uris, pa.string()), pa.array(same, pa.bool_())], names=["uri", "same"])
+
+    read = found.mapInArrow(again, "uri string, same boolean")
     return read.filter("same").agg(F.count("*").alias("records"), F.countDistinct("uri").alias("uris"))
 
 
