@@ -6,8 +6,10 @@ import datetime
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
-from tidemill.operators import joins
+from tidemill.functions import uris
+from tidemill.operators import extract, joins
 from tidemill.plans import catalog, catalog_more
 from tidemill.sources import archives
 from tidemill.streaming import crawl
@@ -105,3 +107,19 @@ def test_archives_are_read_in_batches_of_bytes(spark, tmp_path):
     assert sizes == [2, 2]
     read = spark.read.format("webarchive").load(str(tmp_path / "w")).collect()
     assert [(r.type, r.target_uri, r.date, {"X-K": r.headers["X-K"]}, bytes(r.payload)) for r in sorted(read, key=lambda r: r.offset)] == rows
+
+
+def test_pages_and_links_are_read_once(spark):
+    pages = spark.createDataFrame([("http://a.example/x/", '<a href="../y?p=1&amp;q=2">y</a><a href=" ">n</a><a href="&#35;z">n</a><img src="i.gif">')], "url string, html string")
+    links = extract.html_links(pages)
+    assert sorted((r.dst, r.hop) for r in links.collect()) == [("http://a.example/x/i.gif", "E"), ("http://a.example/y?p=1&q=2", "L")]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert plan.count("(?is)(<(script|style)") == 1 and plan.count("[\\n\\r\\t]+") == 1
+
+
+def test_normalisation_stays_small(spark):
+    text = spark.range(1).select(uris.normalise(F.lit("HTTP:\\\\A.example:080\\b\\..\\c d?e f#g")).alias("u"))
+    assert text.first().u == "http://a.example/c%20d?e%20f"
+    plan = spark.range(1).select(uris.normalise(F.col("id").cast("string")).alias("u"))._jdf.queryExecution().analyzed().toString()
+    assert len(plan) < 10_000

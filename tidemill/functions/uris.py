@@ -5,6 +5,7 @@ The sort key of ``http://user@www.example.com:80/a`` is ``http://(com,example,ww
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -110,40 +111,53 @@ def normalise(uri: Column) -> Column:
     text = F.trim(F.translate(uri, "\u00a0", " "))
     text = F.regexp_replace(text, r"[\n\r\t]+", "")
     text = F.regexp_replace(text, "#.*$", "")
+    return _let(text, lambda t: _let(_slashes(t), _normal))
+
+
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _slashes(text: Column) -> Column:
+    """Slashes for backslashes before a query; two behind the scheme."""
     before, after = F.regexp_extract(text, r"^([^?]*)", 1), F.regexp_extract(text, r"^[^?]*(\?.*)$", 1)
-    text = F.concat(F.translate(before, "\\", "/"), after)
-    text = F.regexp_replace(text, r"(?i)^(https?:)/{2,}", "$1//")
+    return F.regexp_replace(F.concat(F.translate(before, "\\", "/"), after), r"(?i)^(https?:)/{2,}", "$1//")
+
+
+def _normal(text: Column) -> Column:
     name = F.lower(F.regexp_replace(host_port(text), r"^\.+|\.+(?=$|:)|(?:%20)+$", ""))
     name = F.regexp_replace(name, ":0*(?=[0-9])", ":")
-    name = F.when(scheme(text) == "http", F.regexp_replace(name, ":(80)?$", "")).when(scheme(text) == "https", F.regexp_replace(name, ":(443)?$", "")).otherwise(name)
+    name = _let(name, lambda n: F.when(scheme(text) == "http", F.regexp_replace(n, ":(80)?$", "")).when(scheme(text) == "https", F.regexp_replace(n, ":(443)?$", "")).otherwise(n))
     user = F.regexp_extract(authority(text), "^(.*@)", 1)
-    way = without_dots(path(text))
-    way = F.when(way == "", F.lit("/")).otherwise(way)
-    whole = F.concat(scheme(text), F.lit("://"), user, name, escape(way, _PATH_SAFE), escape(after, _QUERY_SAFE))
-    number = F.regexp_extract(name, r":(.*)$", 1)
-    valid = (scheme(text) != "") & (name != "") & ~name.contains("..") & (F.length(whole) <= MOST_CHARS)
-    valid &= (number == "") | (F.regexp_like(number, F.lit(r"^\d{1,9}$")) & F.coalesce(number.try_cast("int") <= 65535, F.lit(False)))
-    return F.when(valid, whole)
+    after = F.regexp_extract(text, r"^[^?]*(\?.*)$", 1)
+    way = lambda: _let(_let(path(text), without_dots), lambda w: _let(F.when(w == "", F.lit("/")).otherwise(w), lambda x: escape(x, _PATH_SAFE)))
+    whole = lambda n: F.concat(scheme(text), F.lit("://"), user, n, way(), _let(after, lambda q: escape(q, _QUERY_SAFE)))
+    number = lambda n: F.regexp_extract(n, r":(.*)$", 1)
+    named = lambda n: (scheme(text) != "") & (n != "") & ~n.contains("..")
+    ported = lambda n: (number(n) == "") | (F.regexp_like(number(n), F.lit(r"^\d{1,9}$")) & F.coalesce(number(n).try_cast("int") <= 65535, F.lit(False)))
+    short = lambda w: F.when(F.length(w) <= MOST_CHARS, w)
+    return _let(name, lambda n: F.when(named(n) & ported(n), _let(whole(n), short)))
+
+
+def joined(base: str | None, reference: str | None) -> str | None:
+    """A reference joined with its base URI, the host name in ASCII; null where that fails."""
+    if reference is None:
+        return None
+    try:
+        whole = urljoin(base or "", reference.strip())
+        head, sep, rest = whole.partition("://")
+        name, slash, tail = rest.partition("/")
+        if not name.isascii():
+            name = name.encode("idna").decode()
+        return head + sep + name + slash + tail
+    except (ValueError, UnicodeError):
+        return None
 
 
 @F.pandas_udf(StringType())
 def _joined(base: pd.Series, reference: pd.Series) -> pd.Series:
-    """References joined with base URIs, host names in ASCII; null where that fails."""
-
-    def one(b: str | None, r: str | None) -> str | None:
-        if r is None:
-            return None
-        try:
-            whole = urljoin(b or "", r.strip())
-            head, sep, rest = whole.partition("://")
-            name, slash, tail = rest.partition("/")
-            if not name.isascii():
-                name = name.encode("idna").decode()
-            return head + sep + name + slash + tail
-        except (ValueError, UnicodeError):
-            return None
-
-    return pd.Series([one(b, r) for b, r in zip(base, reference)], dtype=object)
+    return pd.Series([joined(b, r) for b, r in zip(base, reference)], dtype=object)
 
 
 def resolve(base: str | Column, reference: str | Column) -> Column:

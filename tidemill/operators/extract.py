@@ -6,12 +6,15 @@ are resolved against the page's address, or its base element's, in Arrow batches
 
 from __future__ import annotations
 
+import html as html_
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import uris
 from tidemill.functions.hops import is_redirect
-from tidemill.functions.text import unescape_html
 
 MOST_LINKS = 6000
 _TAG = r"(?is)<([a-z][a-z0-9]{0,63})((?:\s[^<>]{0,16384})?)/?>"
@@ -21,12 +24,15 @@ _EMBEDS = ("src", "lowsrc", "background", "cite", "longdesc", "usemap", "profile
 
 def tags(html: Column) -> Column:
     """array<struct<element, attributes>>: every opening tag outside comments, scripts and styles."""
-    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    clean = F.regexp_replace(clean, r"(?is)(<(script|style)\b[^>]*>).*?</\2\s*>", "$1")
+    clean = F.regexp_replace(_without_comments(html), r"(?is)(<(script|style)\b[^>]*>).*?</\2\s*>", "$1")
     whole = F.regexp_extract_all(clean, F.lit(_TAG), F.lit(0))
     return F.transform(whole, lambda t: F.struct(F.lower(F.regexp_extract(t, _TAG, 1)).alias("element"), F.regexp_extract(t, _TAG, 2).alias("attributes")))
 
 
+def _without_comments(html: Column) -> Column:
+    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+
+
 def _value(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"""^["']|["']$""", ""))
 
@@ -37,11 +43,14 @@ def _sends(attributes: Column) -> Column:
     return ~method.isin("", "get")
 
 
-def references(html: Column) -> Column:
-    """array<struct<element, attribute, value>>: the attributes of all tags that may hold a reference; no forms that post."""
+def references(html: Column, found: Column | None = None) -> Column:
+    """array<struct<element, attribute, value>>: the attributes of all tags that may hold a reference; no forms that post.
+
+    ``found`` are the page's tags, if they are known.
+    """
     return F.flatten(
         F.transform(
-            tags(html),
+            tags(html) if found is None else found,
             lambda t: F.transform(
                 F.filter(F.regexp_extract_all(t["attributes"], F.lit(_ATTRIBUTE), F.lit(0)), lambda a: ~(F.regexp_like(a, F.lit("(?i)^action")) & _sends(t["attributes"]))),
                 lambda a: F.struct(t["element"].alias("element"), F.lower(F.regexp_extract(a, _ATTRIBUTE, 1)).alias("attribute"), _value(F.regexp_extract(a, _ATTRIBUTE, 2)).alias("value")),
@@ -69,29 +78,59 @@ def html_links(pages: DataFrame, url: str = "url", html: str = "html", resolve:
     kept = keys or []
     text = F.col(html)
     nofollow = F.regexp_like(text, F.lit(r"""(?is)<meta\s(?=[^>]*name\s*=\s*["']?robots)[^>]*content\s*=\s*["'][^"']*(?:nofollow|none)"""))
-    read = pages.filter(~F.coalesce(nofollow, F.lit(False))).select(F.col(url).alias("src"), *kept, text.alias("_html"), references(text).alias("_found"))
+    read = pages.filter(~F.coalesce(nofollow, F.lit(False))).select(F.col(url).alias("src"), *kept, _without_comments(text).alias("_html"))
+    read = read.withColumn("_tags", tags(F.col("_html")))
+    # tags and comments are read once, references too: each is used several times
+    read = read.withColumn("_found", references(F.col("_html"), F.col("_tags")))
     base = F.get(F.filter("_found", lambda r: (r["element"] == "base") & (r["attribute"] == "href")), F.lit(0))["value"]
     linking = F.filter("_found", lambda r: hop_of(r["element"], r["attribute"], frames_embed).isNotNull() & ~F.regexp_like(r["value"], F.lit(_NO_LINK)))
     marked = F.transform(F.slice(linking, 1, most), lambda r: F.struct(r["value"].alias("dst"), F.concat_ws("/@", r["element"], r["attribute"]).alias("context"), hop_of(r["element"], r["attribute"], frames_embed).alias("hop")))
     if inline:
-        marked = F.concat(marked, F.slice(inline_links(F.col("_html")), 1, most))
-    links = read.select("src", *kept, F.coalesce(F.nullif(base, F.lit("")), F.col("src")).alias("_base"), F.explode(marked).alias("r")).select("src", *kept, "_base", "r.*")
-    links = links.withColumn("dst", unescape_html("dst")).filter(~F.regexp_like("dst", F.lit(_NO_LINK)))
+        marked = F.concat(marked, F.slice(inline_links(F.col("_html"), F.col("_tags")), 1, most))
+    # before pages are spread over their links, so that no link carries its page; an outer explode, as for an inner one
+    # Spark filters pages by their links, which finds them all twice
+    read = read.select("src", *kept, F.coalesce(F.nullif(base, F.lit("")), F.col("src")).alias("_base"), marked.alias("_marked"))
+    links = read.select("src", *kept, "_base", F.explode_outer("_marked").alias("r")).filter("r is not null").select("src", *kept, "_base", "r.*")
+    links = _unescaped(links, resolve)
     if resolve:
-        links = links.withColumn("dst", uris.resolve("_base", "dst")).filter("dst is not null")
+        # a generator's column, which no filter repeats
+        links = links.withColumn("dst", F.explode_outer(F.array(uris.normalise(F.col("dst"))))).filter("dst is not null")
     return links.drop("_base").distinct()
 
 
-def inline_links(html: Column) -> Column:
+def _unescaped(links: DataFrame, resolve: bool) -> DataFrame:
+    """links with references decoded and, if asked, joined with their base; without those that are no links then.
+
+    One pass of Python over Arrow batches, which the optimizer can't repeat below a filter as it does with functions.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        no_link = re.compile(_NO_LINK)
+        for batch in batches:
+            references = [html_.unescape(r) for r in batch.column("dst").to_pylist()]
+            kept = [k for k, r in enumerate(references) if not no_link.search(r)]
+            bases = batch.column("_base").to_pylist() if resolve else None
+            out = [uris.joined(bases[k], references[k]) if resolve else references[k] for k in kept]
+            columns = [pa.array(out, pa.string()) if name == "dst" else batch.column(name).take(pa.array(kept, pa.int64())) for name in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return links.mapInArrow(each, links.schema)
+
+
+def inline_links(html: Column, found: Column | None = None) -> Column:
     """array<struct<dst, context, hop>> of what stands within a page: scripts, styles, handlers, sources by width, refreshes.
 
     Likely references in strings of scripts, in on... handlers, javascript: addresses, value attributes and flashvars
-    are speculative (X), those of style sheets and attributes and of srcset are parts of the page (E).
+    are speculative (X), those of style sheets and attributes and of srcset are parts of the page (E).  ``found`` are the
+    tags of a page without comments, if they are known.
     """
-    clean = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    clean = _without_comments(html) if found is None else html
+    elements = tags(html) if found is None else found
     bodies = lambda element: F.regexp_extract_all(clean, F.lit(rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>"), F.lit(1))
     quoted = r"""\s*=\s*("[^"]{0,16384}"|'[^']{0,16384}')"""
-    attributes = lambda names: F.transform(F.flatten(F.transform(tags(html), lambda t: F.regexp_extract_all(t["attributes"], F.lit(rf"(?is)\b(?:{names}){quoted}"), F.lit(1)))), lambda v: F.regexp_replace(v, """^["']|["']$""", ""))
+    attributes = lambda names: F.transform(F.flatten(F.transform(elements, lambda t: F.regexp_extract_all(t["attributes"], F.lit(rf"(?is)\b(?:{names}){quoted}"), F.lit(1)))), lambda v: F.regexp_replace(v, """^["']|["']$""", ""))
     all_of = lambda texts, find: F.flatten(F.transform(texts, find))
     link = lambda found, context, hop: F.transform(F.filter(found, lambda u: u != ""), lambda u: F.struct(u.alias("dst"), F.lit(context).alias("context"), F.lit(hop).alias("hop")))
     handlers = F.transform(attributes("on[a-z]{3,20}"), lambda v: F.concat(v, F.lit(";")))
