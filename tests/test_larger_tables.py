@@ -123,3 +123,14 @@ def test_normalisation_stays_small(spark):
     assert text.first().u == "http://a.example/c%20d?e%20f"
     plan = spark.range(1).select(uris.normalise(F.col("id").cast("string")).alias("u"))._jdf.queryExecution().analyzed().toString()
     assert len(plan) < 10_000
+
+
+def test_crawl_rounds_extract_once(spark, tmp_path):
+    rows = [(k, f"http://a.example.com/{k}", f'<a href="/{k + 1}">x</a><a href="/{k + 7}">y</a>') for k in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = catalog.queries()["crawl_rounds"](spark, str(tmp_path))
+    assert "script" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for path, steps in (("LL", (2, 8, 14)), ("L", (1, 7)), ("", (0,))):
+        want |= {f"http://a.example.com/{seed + n}": path for seed in (0, 10, 20) for n in steps}
+    assert {r.uri: r.hops for r in found.collect()} == want

@@ -7,14 +7,12 @@ lengths is bounded by the longest key; the rule sides aren't broadcast by hand,
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import uris
 
-from .scratch import shared_folder
+from .scratch import staged
 
 
 def prefix_lengths(prefixes: DataFrame, prefix: str) -> list[int]:
@@ -118,14 +116,6 @@ def with_via(rows: DataFrame, columns: list[str], uri: str = "uri", via: str = "
     return rows.join(parent, rows[via] == parent["_u"], "left").drop("_u")
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that no lineage grows with the rounds."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemill-scratch/paths-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def paths_to_seeds(rows: DataFrame, uri: str = "uri", via: str = "via") -> DataFrame:
     """(uri, seed, depth, path): every URI with the seed it was found from and the way there, by joins to a fixed point.
 
@@ -136,11 +126,11 @@ def paths_to_seeds(rows: DataFrame, uri: str = "uri", via: str = "via") -> DataF
     # a loop is known within twice its length; its rows follow it no further
     cut = lambda df: df.withColumn("loop", F.col("loop") | looped).withColumns({"up": F.when(~F.col("loop"), F.col("up")), "path": F.when(~F.col("loop"), F.col("path")).otherwise(F.array("uri"))})
     first = rows.select(F.col(uri).alias("uri"), F.col(via).alias("up"), F.array(F.col(uri)).alias("path"), F.lit(False).alias("loop")).dropDuplicates(["uri"])
-    done = _staged(cut(first).withColumn("more", F.col("up").isNotNull()))
+    done = staged(cut(first).withColumn("more", F.col("up").isNotNull()), "paths")
     while not done.filter("more").isEmpty():
         above = done.select(F.col("uri").alias("_u"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("loop").alias("_loop"))
         joined = done.join(above, done["up"] == above["_u"], "left")
         found = F.col("_u").isNotNull()
         stepped = joined.select("uri", F.when(found, F.col("_up")).otherwise(F.col("up")).alias("up"), F.when(found, F.concat("path", "_path")).otherwise(F.col("path")).alias("path"), F.coalesce(F.col("loop") | F.col("_loop"), F.col("loop")).alias("loop"), found.alias("found"))
-        done = _staged(cut(stepped).withColumn("more", F.col("found") & F.col("up").isNotNull()).drop("found"))
+        done = staged(cut(stepped).withColumn("more", F.col("found") & F.col("up").isNotNull()).drop("found"), "paths")
     return done.filter("not loop").select("uri", F.element_at("path", -1).alias("seed"), (F.size("path") - 1).alias("depth"), F.reverse("path").alias("path"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Temporary folders of local sessions, by application.
 _local: dict[str, str] = {}
@@ -24,3 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
         _local[context.applicationId] = tempfile.mkdtemp(prefix="tidemill-")
         atexit.register(shutil.rmtree, _local[context.applicationId], ignore_errors=True)
     return f"file://{_local[context.applicationId]}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, so that it is worked out once and no lineage grows with rounds."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidemill-scratch/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import canonical, hops, text, uris
 from tidemill.operators import extract, frontier, joins, rules, stats
-from tidemill.operators.scratch import shared_folder
+from tidemill.operators.scratch import shared_folder, staged
 from tidemill.sources import archives
 from tidemill.streaming import crawl
 
@@ -153,13 +153,15 @@ def candidate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crawl_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of a crawl over the pages as a web: seeds, scope, dedup by canonical form, links of what was found."""
     pages = table(spark, sf_dir, "pages").withColumn("uri", uris.normalise(F.col("url")))
-    links = extract.html_links(pages.select("uri", "html"), url="uri")
+    # each round reads links and what was found so far
+    links = staged(extract.html_links(pages.select("uri", "html"), url="uri").select("src", "dst", "hop").distinct(), "links")
     found = pages.filter("page_id % 10 = 0").select("uri", F.lit("").alias("hops"))
-    for _ in range(2):
+    for last in (False, True):
         more = links.join(found.withColumnRenamed("uri", "src"), "src").select(F.col("dst").alias("uri"), F.concat("hops", "hop").alias("hops"))
         more = more.filter(~rules.too_many_hops(F.col("hops"), 3) & ~rules.scheme_not_in(F.col("uri")))
         both = found.unionByName(more).withColumn("canonical", canonical.canonical(F.col("uri")))
         found = both.groupBy("canonical").agg(F.min_by(F.struct("uri", "hops"), F.struct(F.length("hops"), "hops", "uri")).alias("r")).select("r.*")
+        found = found if last else staged(found, "found")
     return found
 
 
